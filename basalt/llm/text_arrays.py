@@ -47,7 +47,8 @@ class Words:
         texts = pc.fill_null(texts, "")
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
-        texts = texts.cast(pa.large_string())
+        # take() makes the offsets begin at 0, which ascii_lower relies on
+        texts = texts.cast(pa.large_string()).take(pa.array(np.arange(len(texts))))
         split = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
         offsets = split.offsets.to_numpy().astype(np.int64)
         flat = split.values.slice(offsets[0], offsets[-1] - offsets[0])
