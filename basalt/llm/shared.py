@@ -33,17 +33,17 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+def written(df: DataFrame, tag: str, by: tuple[str, ...] = ()) -> DataFrame:
     """df as a table written to the shared folder: its lineage is cut and survives lost executors.
 
-    Shuffle files of the write are dropped once the table is complete, so that the disk holds one step at a time.
+    by: columns that partition the table.  Shuffle files of the write are dropped once the table is complete, so that the disk holds one step at a time.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.partitionBy(*by).parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
