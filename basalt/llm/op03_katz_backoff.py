@@ -38,14 +38,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .features import remainder
-from .shared import chunks, from_bytes, table, to_bytes, written
+from .shared import chunks, dropped, from_bytes, table, to_bytes, written
 from .text_arrays import Words, mix
 
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 HOT = 20_000
-#: Bytes of text a bucket.
-BUCKET_BYTES = 24 << 20
-CHUNK = 6 << 20
+#: Bytes of text a bucket while counting and while scoring, and a chunk.
+COUNT_BYTES, SCORE_BYTES, CHUNK = 8 << 20, 24 << 20, 5 << 20
 TOP = 5
 
 
@@ -122,6 +121,7 @@ def merge_counts(t: pa.Table) -> pa.Table:
         n = np.concatenate([unsmall(r["n"]) for r in rows]).astype(np.int64)
         u = np.concatenate([np.repeat(np.frombuffer(r["u"], np.uint64), unsmall(r["runs"])) for r in rows]) if pairs else w
         k = pair_key(u, w) if pairs else w
+        del rows
         order = np.argsort(k)
         first = runs_of(k[order])
         c = np.add.reduceat(n[order], first)
@@ -131,6 +131,7 @@ def merge_counts(t: pa.Table) -> pa.Table:
                 out.append(("seen", np.array([r], np.uint64), np.zeros(1, np.uint64), np.array([(c == r).sum()])))
             out.append(("often", np.zeros(1, np.uint64), np.zeros(1, np.uint64), np.array([c[c >= 2].sum()])))
             u, w, c = u[c >= 2], w[c >= 2], c[c >= 2]
+        del order, first, k, n
         out.append(("pair" if pairs else "token", u if pairs else np.zeros(len(w), np.uint64), w, c))
     tables = [pa.table([pa.array([k] * len(c)), pa.array(u.view(np.int64)), pa.array(w.view(np.int64)), pa.array(c, pa.int64())], schema=MERGED) for k, u, w, c in out]
     return pa.concat_tables(tables) if tables else MERGED.empty_table()
@@ -166,7 +167,7 @@ class Model:
         """docs: doc_id, text.  trains: which rows are learned from."""
         texts = docs.where(trains).select("text")
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        self.buckets = buckets = max(32, -(-size // BUCKET_BYTES))
+        buckets, self.buckets = max(32, -(-size // COUNT_BYTES)), max(32, -(-size // SCORE_BYTES))
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in chunks(batches, "text", CHUNK):
@@ -199,6 +200,7 @@ class Model:
         model = weights.withColumn("kind", F.lit("token")).union(values.join(self._pair_counts(pairs), "key", "left").select("key", F.coalesce("n", "c").alias("c"), "value").withColumn("kind", F.lit("pair")))
         self.table = written(model, "katz-model", ("kind",))
         self.start = float(np.log10((contexts.where(F.col("u") == int(START)).select("a").first() or [1.0])[0]))
+        dropped(self.counts, kept, contexts)
         hot = self.table.where((F.col("c") >= max(2, -(-self.n // HOT))) & F.col("value").isNotNull()).toPandas()  # at most HOT tokens and HOT pairs
         self.hot = {k: part.sort_values("key", key=lambda s: s.to_numpy().view(np.uint64)) for k, part in hot.groupby("kind")}
 
