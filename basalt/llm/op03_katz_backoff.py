@@ -38,8 +38,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .features import remainder
-from .shared import chunks, dropped, from_bytes, table, to_bytes, written
-from .text_arrays import Words, mix
+from .shared import chunks, dropped, from_bytes, table, tidy, to_bytes, written
+from .text_arrays import Words, xxhash64
 
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 HOT = 20_000
@@ -49,7 +49,7 @@ TOP = 5
 
 
 def pair_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return mix(u * np.uint64(0x9E3779B97F4A7C15) + mix(w))
+    return xxhash64(u, w)
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -172,6 +172,7 @@ class Model:
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in chunks(batches, "text", CHUNK):
                 yield from count_chunk(batch.column("text"), buckets)
+            tidy()
 
         sent = texts.mapInArrow(count, "bucket long, pairs boolean, u binary, w binary, runs binary, n binary")
         self.counts = written(sent.groupBy("bucket").applyInArrow(merge_counts, "kind string, u long, w long, c long"), "counts", ("kind",))
@@ -195,7 +196,7 @@ class Model:
         total = F.when(F.col("c") - F.col("s") < 1e-9 * F.col("c"), F.col("c") + 1).otherwise(F.col("c"))
         contexts = contexts.select(F.col("w").alias("u"), total.alias("total"), F.coalesce((1 - F.col("s") / total) / (1 - F.col("q")), F.lit(1.0)).alias("a"))
         contexts = written(contexts, "contexts")
-        values = kept.join(contexts, "u").select(pair_key_column(F.col("u"), F.col("w")).alias("key"), F.lit(-1).cast("long").alias("c"), (F.log10(F.col("s") / F.col("total")) - F.log10("a") - F.log10("p")).alias("value"))
+        values = kept.join(contexts, "u").select(F.xxhash64("u", "w").alias("key"), F.lit(-1).cast("long").alias("c"), (F.log10(F.col("s") / F.col("total")) - F.log10("a") - F.log10("p")).alias("value"))
         weights = words.join(contexts.select(F.col("u").alias("w"), "a"), "w", "left").select(F.col("w").alias("key"), "c", (F.log10("p") + F.log10(F.coalesce("a", F.lit(1.0)))).alias("value"))
         model = weights.withColumn("kind", F.lit("token")).union(values.join(self._pair_counts(pairs), "key", "left").select("key", F.coalesce("n", "c").alias("c"), "value").withColumn("kind", F.lit("pair")))
         self.table = written(model, "katz-model", ("kind",))
@@ -206,19 +207,7 @@ class Model:
 
     def _pair_counts(self, pairs: DataFrame) -> DataFrame:
         """Counts of the pairs that may be hot: at most HOT of them."""
-        return F.broadcast(pairs.where(F.col("c") >= max(2, -(-self.n // HOT))).select(pair_key_column(F.col("u"), F.col("w")).alias("key"), F.col("c").alias("n")))
-
-
-def pair_key_column(u, w):
-    """pair_key() as a column; 64-bit integers that wrap."""
-
-    @F.pandas_udf("long")
-    def key(a, b):
-        import pandas as pd
-
-        return pd.Series(pair_key(a.to_numpy().view(np.uint64), b.to_numpy().view(np.uint64)).view(np.int64))
-
-    return key(u, w)
+        return F.broadcast(pairs.where(F.col("c") >= max(2, -(-self.n // HOT))).select(F.xxhash64("u", "w").alias("key"), F.col("c").alias("n")))
 
 
 ASK = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("kind", pa.string()), ("docs", pa.int64()), ("keys", pa.binary()), ("runs", pa.binary()), ("doc", pa.binary()), ("n", pa.binary())])
@@ -271,6 +260,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
             rows.append((chunk % buckets, chunk, "home", size, to_bytes(ids), sums.tobytes(), b"", b""))
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), ASK, strict=True)], schema=ASK)
             chunk += 1
+        tidy()
 
     def answer(asked: pa.Table, entries: pa.Table) -> pa.Table:
         out = []

@@ -110,6 +110,19 @@ def lesser(a: Column, b: Column) -> Column:
 # ---- packed batches -------------------------------------------------------------------------------------------
 
 
+def tidy() -> None:
+    """Gives a Python worker's freed memory back, as idle workers stay alive beside the next stage's."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def to_bytes(batch: pa.Table | pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:

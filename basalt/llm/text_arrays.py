@@ -36,6 +36,23 @@ def hash_strings(values: pa.StringArray) -> np.ndarray:
     return mix(out)
 
 
+def _rotl(x: np.ndarray, n: int) -> np.ndarray:
+    return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+
+def xxhash64(*columns: np.ndarray) -> np.ndarray:
+    """What Spark's xxhash64() gives for long columns, as unsigned values."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))  # fixed values of XXH64
+    h: np.ndarray = np.full(len(columns[0]), 42, np.uint64)
+    for x in columns:
+        h = (h + p5 + np.uint64(8)) ^ (_rotl(x * p2, 31) * p1)
+        h = _rotl(h, 27) * p1 + p4
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        h ^= h >> np.uint64(32)
+    return h
+
+
 class Words:
     """The words of a batch of texts.
 
