@@ -42,7 +42,7 @@ from .shared import chunks, dropped, from_bytes, table, tidy, to_bytes, written
 from .text_arrays import Words, xxhash64
 
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
-HOT = 20_000
+HOT = 100_000
 #: Bytes of text a bucket while counting and while scoring, and a chunk.
 COUNT_BYTES, SCORE_BYTES, CHUNK = 8 << 20, 24 << 20, 5 << 20
 TOP = 5

@@ -15,7 +15,19 @@ SPACES = r"[\x20\x09-\x0D]+"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Bounds of what Spark hands a Python worker at once; Spark's own are 10,000 rows and 64 MB.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4194304b")}
+
+
+def bounded(spark: SparkSession) -> None:
+    """Sets ARROW where the session still has Spark's values: long texts make large batches."""
+    for key, (default, value) in ARROW.items():
+        if spark.conf.get(key, default) in (default, default.rstrip("b")):
+            spark.conf.set(key, value)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
