@@ -8,8 +8,10 @@
    equal the similarity's posterior is Beta(m + 1, n - m + 1), and a pair is pruned once the probability of the
    threshold falls below ``miss``.  Survivors are verified on the full sets.
 4. Links give components.  Only buckets whose members lie in several components can still hide a link; there all pairs
-   of different components are compared, in blocks of bounded size, and the new survivors are verified.  So each
-   candidate pair is tested unless its ends are connected already, and no bucket is capped or listed in full.
+   of different components are compared, in blocks of bounded size that carry the full sets: each pair in the first
+   band on which it agrees, by signature batches and then on the sets.  A block answers with links that join
+   components, at most one a member.  So each candidate pair is tested unless its ends are connected already, and no
+   bucket is capped, and no list of its pairs is written.
 
 Rows: one per row of documents.  Null, empty or blank text: no shingles, never linked.  A null doc_id: never linked,
 component_id null, kept.  Rows that share a doc_id are judged each by its own text.  Equal similarity to the
@@ -31,7 +33,8 @@ from .shared import chunks, table, written
 from .text_arrays import Words, mix, shingles
 
 BATCH = 24
-BLOCK = 256
+#: Members, and bytes of their sets, a block aims at.
+BLOCK, BLOCK_BYTES = 1024, 4 << 20
 
 
 def seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,19 +119,24 @@ def _sigs(column: pa.Array, hashes: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), hashes)
 
 
+def band_key(sig: np.ndarray, band: int, rows: int) -> np.ndarray:
+    """The bucket of each signature in a band."""
+    key = np.full(len(sig), band + 1, np.uint64)
+    for j in range(band * rows, band * rows + rows):
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, j].astype(np.uint64))
+    return key.view(np.int64)
+
+
 def banded(reps: DataFrame, hashes: int, rows: int) -> DataFrame:
-    """(key, rep): a row for each band of each signature."""
+    """(key, rep, size): a row for each band of each signature, with its set's size."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig = _sigs(batch.column("sig"), hashes).astype(np.uint64)
+            sig = _sigs(batch.column("sig"), hashes)
             for band in range(hashes // rows):
-                key = np.full(len(sig), band + 1, np.uint64)
-                for j in range(band * rows, band * rows + rows):
-                    key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, j])
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("rep")], names=["key", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(band_key(sig, band, rows)), batch.column("rep"), batch.column("size")], names=["key", "rep", "size"])
 
-    return reps.select("rep", "sig").mapInArrow(work, "key long, rep long")
+    return reps.select("rep", "sig", F.col("n_shingles").alias("size")).mapInArrow(work, "key long, rep long, size long")
 
 
 def plausible(pairs: DataFrame, reps: DataFrame, hashes: int, least: list[tuple[int, int]]) -> DataFrame:
@@ -143,9 +151,8 @@ def plausible(pairs: DataFrame, reps: DataFrame, hashes: int, least: list[tuple[
     return pairs.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(work, "a long, b long")
 
 
-def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
-    ends = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
+def full_sets_of(ends: DataFrame, reps: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(rep, members): the sorted shingles of each rep of ends, as a written table."""
     ends = ends.join(reps.select("rep", "hi", "lo"), "rep")
 
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +161,13 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent
             yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array([i for i, _ in held], pa.int64())), pa.array([v for _, v in held], pa.binary())], names=["rep", "members"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(ends, "rep")
-    sets = written(texts.select("rep", "hi", "lo", "text").mapInArrow(full_sets, "rep long, members binary").dropDuplicates(["rep"]), "shingle-sets")
+    return written(texts.select("rep", "hi", "lo", "text").mapInArrow(full_sets, "rep long, members binary").dropDuplicates(["rep"]), "shingle-sets")
+
+
+def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold."""
+    ends = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
+    sets = full_sets_of(ends, reps, docs, k)
     of = lambda x: sets.select(F.col("rep").alias(x), F.col("members").alias(f"set_{x}"))
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,30 +183,47 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(linked, "a long, b long")
 
 
-def cross_pairs(members: DataFrame, reps: DataFrame, hashes: int, least: list[tuple[int, int]]) -> DataFrame:
-    """Unpruned pairs (a, b) of different components in each bucket of members (key, rep, component, n).
+def cross_links(members: DataFrame, reps: DataFrame, sets: DataFrame, hashes: int, rows: int, least: list[tuple[int, int]], percent: int) -> DataFrame:
+    """Links (a, b) that join different components in each bucket of members (key, rep, component, n, size).
 
-    A bucket of n members is dealt into n / BLOCK blocks, and each pair of blocks is a group of bounded size.
+    A bucket of n members is dealt into blocks by members and by size (shingles), and each pair of blocks is a group of
+    bounded size.  Links that the group's own links make needless are left out, so it has fewer links than members.
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") * 8 / BLOCK_BYTES)).cast("int")
     dealt = members.select("key", "rep", "component", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = dealt.join(reps.select("rep", "sig"), "rep").join(sets, "rep")
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "component", "rep")
-    dealt = dealt.join(reps.select("rep", "sig"), "rep").select("key", "i", "j", "block", "component", "rep", "sig")
+    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "component", "rep", "sig", "members")
     dealt = dealt.repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j")
 
     def group(t: pa.Table) -> list[tuple[int, int]]:
-        rep, comp, block = (t.column(c).to_numpy() for c in ("rep", "component", "block"))
+        rep, comp, block = (t.column(c).to_numpy().copy() for c in ("rep", "component", "block"))
         apart = t.column("i")[0].as_py() != t.column("j")[0].as_py()
-        x, y = np.triu_indices(len(rep), 1)
-        use = comp[x] != comp[y]
-        use &= (block[x] != block[y]) if apart else True
-        x, y = x[use], y[use]
-        if not len(x):
+        if len(rep) < 2 or (comp == comp[0]).all():
             return []
         sig = _sigs(t.column("sig").combine_chunks(), hashes)
-        keep = survive(sig[x], sig[y], least) if len(x) < 20_000 else np.concatenate([s + survive(sig[x[s : s + 20_000]], sig[y[s : s + 20_000]], least) for s in range(0, len(x), 20_000)])
-        return [(min(p, q), max(p, q)) for p, q in zip(rep[x[keep]].tolist(), rep[y[keep]].tolist(), strict=True)]
+        full = [np.frombuffer(x, np.uint64) for x in t.column("members").to_pylist()]
+        size = np.array([len(x) for x in full])
+        key = t.column("key")[0].as_py()
+        band = next(b for b in range(hashes // rows) if band_key(sig[:1], b, rows)[0] == key)
+        found = []
+        for x in range(len(rep) - 1):
+            use = (comp[x + 1 :] != comp[x]) & (100 * np.minimum(size[x + 1 :], size[x]) >= percent * np.maximum(size[x + 1 :], size[x]))
+            if apart:
+                use &= block[x + 1 :] != block[x]
+            y = x + 1 + np.flatnonzero(use)
+            if band and len(y):  # a pair that agrees on an earlier band is compared there
+                y = y[~(sig[y, : band * rows] == sig[x, : band * rows]).reshape(len(y), band, rows).all(axis=2).any(axis=1)]
+            if len(y):
+                y = y[survive(np.broadcast_to(sig[x], (len(y), hashes)), sig[y], least)]
+            if not len(y):
+                continue
+            both = np.bincount(np.repeat(np.arange(len(y)), size[y]), np.isin(np.concatenate([full[i] for i in y]), full[x]), len(y))
+            for i in y[100 * both >= percent * (size[x] + size[y] - both)].tolist():
+                if comp[i] != comp[x]:
+                    comp[comp == comp[i]] = comp[x]
+                    found.append((min(int(rep[x]), int(rep[i])), max(int(rep[x]), int(rep[i]))))
+        return found
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last group may go on in the next batch
@@ -223,20 +253,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, hashes: int
     rows, least = bands_of(threshold, hashes, miss), least_matches(threshold, hashes, miss)
     all_rows = written(signed(docs, k, hashes), "signatures")
     usable = all_rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    reps = written(usable.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
+    reps = written(usable.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")), "classes")
     bands = written(banded(reps, hashes, rows), "bands")
-    heads = written(bands.groupBy("key").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    heads = written(bands.groupBy("key").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).where("n > 1"), "buckets")
     star = written(bands.join(heads, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "star-pairs")
     links = written(verified(written(plausible(star, reps, hashes, least), "survivors"), reps, docs, k, percent), "star-links")
     found = written(components(links), "star-components")
-    members = bands.join(heads.select("key", "n"), "key").join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"), "n")
+    members = bands.drop("size").join(heads.select("key", "n", "size"), "key").join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"), "n", "size")
     members = written(members, "members")
     mixed = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
     open_ = written(members.join(mixed, "key"), "open-buckets")
     if not open_.isEmpty():
-        more = written(cross_pairs(open_, reps, hashes, least).join(star, ["a", "b"], "left_anti"), "cross-survivors")
-        if not more.isEmpty():
-            new = written(verified(more, reps, docs, k, percent), "cross-links")
+        sets = full_sets_of(open_.select("rep").distinct(), reps, docs, k)
+        new = written(cross_links(open_, reps, sets, hashes, rows, least, percent), "cross-links")
+        if not new.isEmpty():
             found = written(components(links.union(new)), "all-components")
     classes = reps.select("hi", "lo", "rep").join(found, F.col("rep") == F.col("node"), "left").select(F.col("hi").alias("c_hi"), F.col("lo").alias("c_lo"), F.coalesce("component", "rep").alias("c"))
     out = all_rows.drop("sig").join(classes, F.expr("hi = c_hi AND lo = c_lo AND n_shingles > 0 AND doc_id IS NOT NULL"), "left")

@@ -89,8 +89,9 @@ def test_near_duplicates(spark, folder):
     assert got == {(i, len(s), top[i], top[i] == i) for i, s in sets.items()} | {(None, len(sets[5]), None, True)}
 
 
-def test_large_bucket_in_blocks(spark):
+def test_large_bucket_in_blocks(spark, monkeypatch):
     """Near copies in several blocks, linked along a chain whose ends are unlike."""
+    monkeypatch.setattr(op4, "BLOCK", 64)
     base = [f"w{i}" for i in range(120)]
     rows = [(i, " ".join([f"v{j}" for j in range(i // 40)] + base[i // 40 :])) for i in range(600)]
     rows = [(i, t + f" z{i}") for i, t in rows]
