@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .features import labelled_sample, ranges, remainder, subwords
-from .shared import chunks, table
+from .shared import chunks, table, tidy
 from .text_arrays import Words
 
 CATEGORIES = {"toxic": 1, "repeated": 2, "severe": 4}
@@ -103,15 +103,25 @@ class Chain:
 
 def derived(texts: list[str], y: np.ndarray, categories: dict[str, int], least: int = 3) -> np.ndarray:
     """A column a category: label 1 and as many occurrences as it asks of words found in texts of label 1 only."""
-    rows = [Counter(t.lower().split()) for t in texts]
-    inside, outside = Counter(), Counter()
-    for row, label in zip(rows, y, strict=True):
-        (inside if label else outside).update(row.keys())
-    telling = {w for w, n in inside.items() if n >= least and w not in outside}
-    held = np.array([sum(n for w, n in row.items() if w in telling) for row in rows])
+    inside: Counter = Counter()
+    for text in (t for t, label in zip(texts, y, strict=True) if label):
+        inside.update(set(text.lower().split()))
+    telling = {w for w, n in inside.items() if n >= least}
+    for text in (t for t, label in zip(texts, y, strict=True) if not label):
+        telling.difference_update(text.lower().split())
+    held = np.array([sum(w in telling for w in t.lower().split()) for t in texts])
     return np.column_stack([y if need <= 1 else (y > 0) & (held >= need) for need in categories.values()]).astype(float)
 
 
+def present_in(texts: list[str], *how, limit: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """present() of the texts, in chunks of about limit bytes."""
+    first = 0
+    for batch in chunks(iter([pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})]), "text", limit):
+        doc, feature = present(batch.column("text"), *how)
+        yield doc + first, feature
+        first += batch.num_rows
+
+
 def train(sample: list, counts: dict, categories: dict[str, int] = CATEGORIES, bits: int = 20, low: int = 3, high: int = 6, least: int = 4, lift: float = 8.0, folds: int = 4) -> Chain:
     names = list(categories)
     share = counts.get(1, 0) / max(1, sum(counts.values()))
@@ -119,16 +129,15 @@ def train(sample: list, counts: dict, categories: dict[str, int] = CATEGORIES, b
     if len({y for _, y, _ in sample}) < 2:
         return empty
     texts, y = [t for t, _, _ in sample], np.array([v for _, v, _ in sample])
-    parts = [present(pa.array(texts[i : i + 200], pa.string()), bits, low, high) for i in range(0, len(texts), 200)]
-    doc = np.concatenate([d + 200 * i for i, (d, _) in enumerate(parts)])
-    feature = np.concatenate([f for _, f in parts])
-    positive = np.bincount(feature[y[doc] == 1], minlength=1 << bits)
-    negative = np.bincount(feature[y[doc] == 0], minlength=1 << bits)
+    positive, negative = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
+    for doc, feature in present_in(texts, bits, low, high):
+        positive += np.bincount(feature[y[doc] == 1], minlength=1 << bits)
+        negative += np.bincount(feature[y[doc] == 0], minlength=1 << bits)
     odds = (positive / max(1, (y == 1).sum())) / ((negative + 0.5) / max(1, (y == 0).sum()))
     chosen = np.flatnonzero((positive >= least) & (odds >= lift))
-    at = np.minimum(np.searchsorted(chosen, feature), max(len(chosen) - 1, 0))
-    hit = chosen[at] == feature if len(chosen) else np.zeros(len(feature), bool)
-    doc, feature = doc[hit], at[hit]
+    del positive, negative, odds
+    # a second reading keeps the chosen features only
+    doc, feature = (np.concatenate(x) for x in zip(*present_in(texts, bits, low, high, chosen), strict=True))
     targets = derived(texts, y, categories)
     fold = np.arange(len(texts)) % folds  # the sample's order is that of hashed doc_ids
     drawn = np.bincount(y, minlength=2) / len(y)
@@ -148,6 +157,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", trains: C
     """(doc_id, p_<category> of each category) of every row."""
     sample, counts = labelled_sample(docs, labels, label, F.lit(True) if trains is None else trains, per_class)
     chain = train(sample, counts, categories)
+    del sample
+    tidy()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", 4 << 20):
