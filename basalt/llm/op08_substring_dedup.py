@@ -214,10 +214,11 @@ def bits_of(column: pa.Array, bucket: np.ndarray) -> np.ndarray:
     return np.concatenate([np.unpackbits(np.frombuffer(p, np.uint8), count=b - a) for p, (_, a, b) in zip(parts, slices(bucket), strict=True)]).astype(bool) if parts else np.zeros(0, bool)
 
 
-def substring_dedup(docs: DataFrame, window: int = 13, gram: int = 7, group: int = 200_000, keep: tuple[str, ...] = ()) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 13, gram: int = 7, group: int = 200_000, keep: tuple[str, ...] = (), untouched: bool = False) -> DataFrame:
     """(doc_id, *keep, text, n_words, n_removed, removed): text as the kept words, joined by one space; removed as
 
     the maximal stretches struct(first, past) of word positions.  keep: further columns of docs to hand on.
+    untouched: a text of which no word is removed stays as it is, white space included (null: empty).
     """
     names = [c for c in keep if c not in ("doc_id", "text")]
     batches = packed(docs, {"doc_id": "doc_id", "text": "text"} | {f"k{i}": c for i, c in enumerate(names)})
@@ -281,7 +282,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, gram: int = 7, group: int
                     np.add.at(edge, starts, 1)
                     np.add.at(edge, starts + window, -1)
                     gone = np.cumsum(edge[:-1]) > 0
-                yield results(t, s.words, gone, names)
+                yield results(t, s.words, gone, names, untouched)
 
     fields = [docs.schema["doc_id"], *[docs.schema[c] for c in names]]
     from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
@@ -291,7 +292,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, gram: int = 7, group: int
     return answered(batches, picks, trees).mapInArrow(finish, schema)
 
 
-def results(t: pa.Table, words: Words, gone: np.ndarray, names: list[str]) -> pa.RecordBatch:
+def results(t: pa.Table, words: Words, gone: np.ndarray, names: list[str], untouched: bool) -> pa.RecordBatch:
     starts = words.starts
     removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[starts])
     kept = pa.ListArray.from_arrays(pa.array(starts - np.concatenate([[0], np.cumsum(gone)])[starts], pa.int32()), words.vocabulary.take(pa.array(words.code[~gone])).cast(pa.string()))
@@ -301,6 +302,8 @@ def results(t: pa.Table, words: Words, gone: np.ndarray, names: list[str]) -> pa
         x = np.diff(np.concatenate([[0], gone[starts[d] : starts[d + 1]].astype(np.int8), [0]])) if removed[d] else np.zeros(0)
         spans.append([{"first": a, "past": b} for a, b in zip(np.flatnonzero(x == 1).tolist(), np.flatnonzero(x == -1).tolist(), strict=True)])
     shas = [hashlib.sha256(x.encode()).hexdigest() for x in texts.to_pylist()]
+    if untouched:
+        texts = pa.compute.if_else(pa.array(removed > 0), texts, pa.compute.fill_null(t.column("text"), "").cast(pa.string()))
     span = pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32())]))
     columns = {"doc_id": t.column("doc_id")} | {c: t.column(f"k{i}") for i, c in enumerate(names)} | {"text": texts, "n_words": pa.array(np.diff(starts), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": shas, "removed": pa.array(spans, span)}
     return pa.table(columns).combine_chunks().to_batches()[0]
