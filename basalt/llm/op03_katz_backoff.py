@@ -4,16 +4,15 @@ Tokens: the words of a text, then one end.  A text's first word follows a start,
 the V distinct training tokens and one class for all others.  With counts c, and Good-Turing factors d below six,
 
     p(w)     = d c(w) / N for seen w; the class of unseen words gets the rest;
-    p(w | u) = d c(u, w) / c(u) if c(u, w) >= 2, else a(u) p(w);
-    a(u)     = (1 - sum of p(w | u) over the kept w) / (1 - sum of p(w) over them), 1 for an unseen context.
+    p(w | u) = d c(u, w) / c(u) if c(u, w) >= 1, else a(u) p(w);
+    a(u)     = (1 - sum of p(w | u) over the seen w) / (1 - sum of p(w) over them), 1 for an unseen context.
 
-So every context's probabilities sum to one.  (Pairs seen once are left to the backoff, as Katz proposed; their number,
-which the factors need, is N less the occurrences of the others.)  A context whose kept pairs would leave nothing for
-the rest counts one occurrence more.  If the counts of counts give no valid factors, their log-linear fit is used, and failing that
+So every context's probabilities sum to one.  A context whose pairs would leave nothing for the rest counts one
+occurrence more.  If the counts of counts give no valid factors, their log-linear fit is used, and failing that
 half an occurrence is discounted.
 
 The recursion p(w | u) -> a(u) p(w) is evaluated per token in a form whose parts are looked up apart: a text's score is
-the sum of log p(w) + log a(w) over its words, plus, over its kept pairs, log p(w | u) - log a(u) - log p(w).
+the sum of log p(w) + log a(w) over its words, plus, over its seen pairs, log p(w | u) - log a(u) - log p(w).
 
 Counts: texts are hashed in chunks; each chunk sends its distinct tokens and pairs with counts to buckets.  The model is
 a stored table partitioned by kind.  Scoring: each chunk sends its distinct tokens and pairs to buckets, with the
@@ -111,7 +110,7 @@ MERGED = pa.schema([("kind", pa.string()), ("u", pa.int64()), ("w", pa.int64()),
 
 
 def merge_counts(t: pa.Table) -> pa.Table:
-    """A bucket's totals: kind token (w, c), pair (u, w, c) with c >= 2, and seen (u: c, c: how many pairs), up to TOP + 1."""
+    """A bucket's totals: kind token (w, c), pair (u, w, c), and seen (u: c, c: how many pairs), up to TOP + 1."""
     out = []
     for pairs in (False, True):
         rows = t.filter(pa.compute.equal(t.column("pairs"), pairs)).select(["u", "w", "runs", "n"]).to_pylist()
@@ -127,10 +126,8 @@ def merge_counts(t: pa.Table) -> pa.Table:
         c = np.add.reduceat(n[order], first)
         u, w = u[order][first], w[order][first]
         if pairs:
-            for r in range(2, TOP + 2):
+            for r in range(1, TOP + 2):
                 out.append(("seen", np.array([r], np.uint64), np.zeros(1, np.uint64), np.array([(c == r).sum()])))
-            out.append(("often", np.zeros(1, np.uint64), np.zeros(1, np.uint64), np.array([c[c >= 2].sum()])))
-            u, w, c = u[c >= 2], w[c >= 2], c[c >= 2]
         del order, first, k, n
         out.append(("pair" if pairs else "token", u if pairs else np.zeros(len(w), np.uint64), w, c))
     tables = [pa.table([pa.array([k] * len(c)), pa.array(u.view(np.int64)), pa.array(w.view(np.int64)), pa.array(c, pa.int64())], schema=MERGED) for k, u, w, c in out]
@@ -181,13 +178,12 @@ class Model:
         self.n, self.v = (x or 0 for x in tokens_.agg(F.sum("c"), F.count(F.lit(1))).first())
         ones = {r["c"]: r["n"] for r in tokens_.where(F.col("c") <= TOP + 1).groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
         twos = {r["u"]: r["n"] for r in of("seen").groupBy("u").agg(F.sum("c").alias("n")).collect()}
-        often = of("often").agg(F.sum("c")).first()[0] or 0
-        self.factors = good_turing(ones), good_turing(twos | {1: self.n - often})
+        self.factors = good_turing(ones), good_turing(twos)
         factor = lambda d, c: F.element_at(F.array(*[F.lit(x) for x in d]), F.least(c, F.lit(TOP + 1)).cast("int") + 1)
         starts = texts.count()
         words = tokens_.withColumn("p", factor(self.factors[0], F.col("c")) * F.col("c") / F.lit(max(self.n, 1)))
         self.unseen = max(1.0 - (words.agg(F.sum("p")).first()[0] or 0.0), 1e-12)
-        # backoff weights: sums over each context's kept pairs
+        # backoff weights: sums over each context's pairs
         kept = pairs.join(words.select("w", "p"), "w").withColumn("s", factor(self.factors[1], F.col("c")) * F.col("c"))
         kept = written(kept.select("u", "w", "s", "p"), "kept-pairs")
         sums = kept.groupBy("u").agg(F.sum("s").alias("s"), F.sum("p").alias("q"))
