@@ -4,8 +4,9 @@ Texts are tokenised whole, each followed by an end id, and cut only if longer th
 the first is full.  Full pieces are sequences of their own.  The others are dealt evenly into groups of up to
 ``group`` pieces; a group is packed best-fit decreasing, and then improved: pieces of the emptiest bin move to other
 bins, or are exchanged one for one or two for one against smaller contents of fuller bins, as long as the sum of the
-squared fills grows, until the bin is empty or no exchange helps.  A group wastes at most about a sequence of its
-thousands, whatever the number of groups.
+squared fills grows, until the bin is empty or no exchange helps.  Every bin with room is tried, again after others were
+emptied, until the least number of bins is reached or none can be emptied.  Short pieces leave a group about a sequence
+over that number; where all pieces are long the search ends with more.
 
 Rows: one per piece.  Null or empty text: the end id alone.  Rows that share a doc_id, or repeat, are packed each.  A
 null doc_id is packed like any other.  Equal lengths are taken in the order of doc_id and piece.  Empty table: no rows.
@@ -141,63 +142,124 @@ class Bins:
                 by_room.setdefault(at - n, []).append(b)
                 rooms[at - n] = True
 
-    def improve(self, tries: int = 4) -> None:
-        """Local search from the emptiest bins until the least number of bins is reached or nothing helps."""
-        fill = np.array(self.fill, np.int64)
-        least = -(-int(self.lengths.sum()) // self.size)
-        stuck: set[int] = set()
-        while (fill > 0).sum() > least and len(stuck) < tries:
-            open_ = [b for b in np.argsort(fill, kind="stable").tolist() if 0 < fill[b] < self.size and b not in stuck]
-            if len(open_) < 2:
-                break
-            before = (fill > 0).sum()
-            self._empty(open_[0], fill)
-            if (fill > 0).sum() == before:
-                stuck.add(open_[0])
-        self.fill = fill.tolist()
-
-    def _empty(self, victim: int, fill: np.ndarray) -> None:
-        size, lengths = self.size, self.lengths
-        under = np.flatnonzero((fill > 0) & (fill < size))
-        items = np.flatnonzero(np.isin(self.bin, under))  # what may change places, in all bins with room
+    def improve(self) -> None:
+        """Local search from the emptiest bins until the least number of bins is reached or no bin can be emptied.
+
+        Every bin with room is tried in each pass; a pass that emptied one is followed by another.
+        """
+        least, used = -(-int(self.lengths.sum()) // self.size), sum(f > 0 for f in self.fill)
+        if used <= least:
+            return
+        self._open()
         while True:
-            mine = items[self.bin[items] == victim]
-            if not len(mine):
+            before = used
+            for victim in sorted((b for b, f in enumerate(self.fill) if 0 < f < self.size), key=self.fill.__getitem__):
+                if 0 < self.fill[victim] < self.size:
+                    self._empty(victim)
+                    used -= self.fill[victim] == 0
+                    if used <= least:
+                        return
+            if used == before:
                 return
-            others = items[(self.bin[items] != victim) & (fill[self.bin[items]] >= fill[victim])]
-            if not len(others):
-                return
-            room = size - fill
-            bins = np.unique(self.bin[others])
+
+    def _open(self) -> None:
+        """Lookups over the bins with room: bins by room, and items by their bin's room and their length."""
+        self.items: list[list[int]] = [[] for _ in self.fill]
+        for item, b in enumerate(self.bin.tolist()):
+            self.items[b].append(item)
+        self.by_room: list[set[int]] = [set() for _ in range(self.size)]
+        self.at: dict[tuple[int, int], set[int]] = {}
+        self.next = np.full((self.size, self.size + 1), self.size, np.int32)  # [room, x]: the least length from x on
+        self.rooms = np.zeros(self.size, bool)
+        for b in range(len(self.fill)):
+            self._enter(b, False)
+        for r in np.flatnonzero(self.rooms).tolist():
+            self._row(r)
+
+    def _row(self, room: int) -> None:
+        row = np.full(self.size + 1, self.size, np.int32)
+        there = list({int(self.lengths[i]) for b in self.by_room[room] for i in self.items[b]})
+        row[there] = there
+        self.next[room] = np.minimum.accumulate(row[::-1])[::-1]
+
+    def _enter(self, b: int, row: bool = True) -> None:
+        room = self.size - self.fill[b]
+        if 0 < room < self.size:
+            self.by_room[room].add(b)
+            self.rooms[room] = True
+            for i in self.items[b]:
+                n = int(self.lengths[i])
+                self.at.setdefault((room, n), set()).add(i)
+                if row:
+                    part = self.next[room, : n + 1]
+                    np.minimum(part, n, out=part)
+
+    def _leave(self, b: int) -> None:
+        room = self.size - self.fill[b]
+        if 0 < room < self.size:
+            self.by_room[room].discard(b)
+            self.rooms[room] = bool(self.by_room[room])
+            for i in self.items[b]:
+                n = int(self.lengths[i])
+                have = self.at[room, n]
+                have.discard(i)
+                if not have:  # the lengths up to n, down to the next shorter one, now lead to the next longer one
+                    row = self.next[room]
+                    row[: n + 1][row[: n + 1] == n] = row[n + 1]
+
+    def _change(self, b: int, gone: list[int], come: list[int]) -> None:
+        """Items leave and enter a bin that is not in the lookups."""
+        self.items[b] = [i for i in self.items[b] if i not in gone] + come
+        self.bin[come] = b
+        self.fill[b] += int(self.lengths[come].sum()) - int(self.lengths[gone].sum())
+
+    def _empty(self, victim: int) -> None:
+        """Moves and exchanges between the victim and fuller bins, each with a gain, until it is empty or none is left."""
+        self._leave(victim)
+        while mine := self.items[victim]:
+            own = self.fill[victim]
+            rooms = np.flatnonzero(self.rooms[: self.size - own + 1])  # of the bins at least as full
+            if not len(rooms):
+                break
+            sizes = self.lengths[mine]
             # move: the item that leaves a bin fullest
-            gap = room[bins][None, :] - lengths[mine][:, None]
-            fit = np.where(gap >= 0, gap, size)
-            if fit.min() < size:
-                i, j = np.unravel_index(int(fit.argmin()), fit.shape)
-                fill[victim] -= lengths[mine[i]]
-                fill[bins[j]] += lengths[mine[i]]
-                self.bin[mine[i]] = bins[j]
-                continue
-            # exchange one for one, or two for one: the largest gain that fits
-            best, choice = 0, None
-            theirs, space = lengths[others], room[self.bin[others]]
-            singles = [(int(x),) for x in mine]
-            doubles = [(int(x), int(y)) for i, x in enumerate(mine) for y in mine[i + 1 :]] if len(mine) <= 40 else []
-            for give in [*singles, *doubles]:
-                more = int(lengths[list(give)].sum()) - theirs
-                gain = np.where((more > 0) & (more <= space), more * (fill[self.bin[others]] - fill[victim] + more), 0)
-                at = int(gain.argmax())
-                if gain[at] > best:
-                    best, choice = int(gain[at]), (give, int(others[at]))
-            if choice is None:
-                return
-            give, take = choice
-            b = int(self.bin[take])
-            more = int(lengths[list(give)].sum() - lengths[take])
-            self.bin[list(give)] = b
-            self.bin[take] = victim
-            fill[b] += more
-            fill[victim] -= more
+            near = np.searchsorted(rooms, sizes)
+            gap = np.where(near < len(rooms), rooms[np.minimum(near, len(rooms) - 1)] - sizes, self.size)
+            if gap.min() < self.size:
+                i = int(gap.argmin())
+                b = min(self.by_room[int(rooms[near[i]])])
+                give, take = [mine[i]], []
+            else:
+                # exchange one for one, or two for one: the largest gain that fits
+                lengths = np.flatnonzero(counts := np.bincount(sizes))
+                a, b = np.triu_indices(len(lengths))
+                pairs = (lengths[a] + lengths[b])[(a != b) | (counts[lengths[a]] > 1)]
+                sums = np.unique(np.concatenate([lengths, pairs]))
+                theirs = self.next[rooms[None, :], np.maximum(sums[:, None] - rooms[None, :], 0)].astype(np.int64)
+                more = sums[:, None] - theirs
+                gain = np.where(more > 0, more * (self.size - rooms[None, :] - own + more), 0)
+                if gain.max() <= 0:
+                    break
+                i, j = np.unravel_index(int(gain.argmax()), gain.shape)
+                give, take = self._making(mine, int(sums[i])), [min(self.at[int(rooms[j]), int(theirs[i, j])])]
+                b = int(self.bin[take[0]])
+            self._leave(b)
+            self._change(b, take, give)
+            self._change(victim, give, take)
+            self._enter(b)
+        self._enter(victim)
+
+    def _making(self, mine: list[int], total: int) -> list[int]:
+        """One item of that length, or else two that add up to it."""
+        for i in mine:
+            if int(self.lengths[i]) == total:
+                return [i]
+        seen: dict[int, int] = {}
+        for i in mine:
+            if (other := seen.get(total - int(self.lengths[i]))) is not None:
+                return [other, i]
+            seen[int(self.lengths[i])] = i
+        raise ValueError("no items make that length")
 
 
 def pack(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

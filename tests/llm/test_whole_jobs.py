@@ -4,9 +4,11 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from basalt.llm import op03_katz_backoff as op3
+from basalt.llm import op06_best_fit_packing as op6
 
 
 def test_katz_keeps_pairs_seen_once(spark):
@@ -34,3 +36,23 @@ def test_katz_keeps_pairs_seen_once(spark):
     for i, t in enumerate(texts):
         t = [*t.split(), "</s>"]
         assert abs(got[i] - sum(math.log10(q(u, w)) for u, w in zip(["<s>", *t], t, strict=False))) < 1e-9 * len(t) + 1e-9, i
+
+
+def test_packing_tries_every_bin():
+    """Long pieces: the search goes on past victims that could not be emptied."""
+    rng = np.random.default_rng(1)
+    for low, high, most in ((400, 901, 836), (550, 1101, 1070)):
+        lengths = rng.integers(low, high, 2500)
+        bins, offset = op6.pack(lengths, 2048)
+        assert np.bincount(bins, weights=lengths).max() <= 2048 and (offset + lengths <= 2048).all()
+        assert bins.max() + 1 <= most
+
+
+def test_packing_exchanges_two_for_one_from_bins_of_many_pieces():
+    """A victim of 41 pieces of 10, beside a bin that holds a 19 and has room for 1: two of them take its place."""
+    lengths = np.array([980, 19, *[10] * 41])
+    bins = op6.Bins(lengths, 1000)
+    bins.bin, bins.fill = np.array([0, 0, *[1] * 41]), [999, 410]
+    bins._open()
+    bins._empty(1)
+    assert bins.fill == [1000, 409] and bins.bin[1] == 1
