@@ -40,15 +40,18 @@ def levels(size: Column, block: int) -> Column:
     return F.when(size <= INLINE_BYTES, F.lit(0)).otherwise(found)
 
 
-def key_blocks(data: DataFrame, size: int, salt: bytes) -> tuple[DataFrame, DataFrame]:
+def key_blocks(data: DataFrame, size: int, salt: bytes, contents: bool = False) -> tuple[DataFrame, DataFrame]:
     """(all blocks by level, references) of keyed data blocks (archive, id, block_no, enc_key, ...).
 
     At most four rounds: each joins the keys of a full block's worth of neighbours, in order, into the next level's
     block.  Files whose keys fit into the reference drop out.  A file that needs more levels raises an error.
+    contents: blocks have their bytes too, as column block, null for data blocks.
     """
     per = size // KEY_BYTES
-    columns = ["archive", "id", "level", "block_no", "enc_key", "storage_key", "block_size"]
+    columns = ["archive", "id", "level", "block_no", "enc_key", "storage_key", "block_size", *(["block"] if contents else [])]
     level = data.withColumn("level", F.lit(1))
+    if contents:
+        level = level.withColumn("block", F.lit(None).cast("binary"))
     found, refs = [], []
     for k in range(1, MAX_INDIRECTION + 1):
         found.append(level.select(*columns))

@@ -128,13 +128,15 @@ def merkle_refs(spark, d):
 
 
 def merkle_read(spark, d):
-    """Contents read back through their references: equal to what went in."""
+    """Contents read back through their references, of all levels, or inlined in them: equal to what went in."""
     f = files(spark, d)
     data = B.keyed(B.chunked(f, SIZE), SALT)
-    _, refs = B.key_blocks(data.drop("block"), SIZE, SALT)
-    stored = data.where("block_size > 0").groupBy("storage_key").agg(F.first("block").alias("content"))
-    got = B.expand(refs.where("indirection = 1"), stored)
-    whole = got.groupBy("id").agg(F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block_no", F.hex("block").alias("h")))), lambda x: x["h"]), "")).alias("b"))
+    every, refs = B.key_blocks(data.drop("block"), SIZE, SALT, contents=True)
+    stored = data.select("storage_key", F.col("block").alias("content")).union(every.where("level > 1").select("storage_key", "block"))
+    stored = stored.groupBy("storage_key").agg(F.first("content").alias("content"))
+    got = B.expand(refs, stored)
+    whole = got.groupBy("archive", "id").agg(F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block_no", F.hex("block").alias("h")))), lambda x: x["h"]), "")).alias("b"))
+    whole = whole.select("id", "b").union(f.where(F.octet_length("content") <= K.INLINE_BYTES).select("id", F.col("content").alias("b")))
     return whole.select("id", F.octet_length("b").cast("long").alias("n"), F.sha2("b", 256).alias("content_sha256"))
 
 
