@@ -1,7 +1,9 @@
 """Licence scans by sentence rules, in DataFrame operations only.
 
 A text is split into sentences (at line ends, and at . ! ? ; before white space).  A sentence is normalised: A-Z in
-lower case, every run of other ASCII than letters and digits one space.  Known licence sentences map to identifiers;
+lower case, every run of other ASCII than letters and digits one space.  A known sentence may also run over several of
+these pieces, as wrapped notices do, up to the end of a piece or a : before white space, but not over a blank line (one
+without letters and digits); it stands where its first piece does, beside the pieces that are known themselves.  Known licence sentences map to identifiers;
 the identifiers of a document, in order, are matched against rules, each an ordered list of identifiers that must
 follow one another (unknown sentences may stand between them).  A match inside a longer rule's match is not reported.
 
@@ -54,6 +56,11 @@ RULES = {
     "isc": [[24]], "unlicense": [[25]], "public-domain": [[26]], "mpl-2.0": [[27]],
 }
 ENDS = r"[.!?;]+(?=[ \t\r\n]|\z)|\n"
+COLON = r":+(?=[ \t\r\n]|\z)"
+#: A blank line is given a mark of its own, so that it is told apart from what lies between a full stop and a line end.
+BLANK, MARK = r"\n(?=[^A-Za-z0-9\x{80}-\x{10FFFF}\n]*\n)", "\x01"
+#: First words of a piece that are compared before the rest.
+HEAD = 4
 
 
 def normalised(sentence: Column) -> Column:
@@ -66,15 +73,27 @@ def license_scan(docs: DataFrame, sentences: dict[int, str] = SENTENCES, rules:
     The knowledge base is a parameter of fixed size, never data, so it is broadcast.
     """
     spark = docs.sparkSession
-    known = spark.createDataFrame([(s, i) for i, s in sentences.items()], "sentence string, sentence_id int")
+    known = spark.createDataFrame([(s, s.split(" ")[0], i) for s, i in ((s, i) for i, s in sentences.items())], "sentence string, opener string, sentence_id int")
     ordered = spark.createDataFrame([(name, seq[0], seq) for name, seqs in rules.items() for seq in seqs], "license string, lead int, ids array<int>")
     openers = sorted({s.split(" ")[0] for s in sentences.values()})
+    heads = sorted({" ".join(s.split(" ")[:k]) for s in sentences.values() for k in range(1, HEAD + 1)})
+    n_words, n_chars = max(len(s.split(" ")) for s in sentences.values()), max(len(s) for s in sentences.values())
     key = [F.col("doc_id"), F.xxhash64("text").alias("text_key")]
-    opens = lambda s: F.lower(F.regexp_extract(s, "[A-Za-z0-9\\x{80}-\\x{10FFFF}]+", 0)).isin(openers)
-    parts = F.split(F.coalesce(F.col("text"), F.lit("")), ENDS)
-    likely = let(parts, lambda p: F.filter(F.transform(p, lambda s, i: F.struct(i.alias("position"), s.alias("s"))), lambda x: opens(x["s"])))
-    found = docs.select(*key, F.explode(likely).alias("x")).dropDuplicates(["doc_id", "text_key", "x"])
-    found = found.select("doc_id", "text_key", "x.position", normalised(F.col("x.s")).alias("sentence")).join(F.broadcast(known), "sentence")
+    word = "[A-Za-z0-9\\x{80}-\\x{10FFFF}]+"
+    first = lambda s, k: normalised(F.regexp_extract(s, f"{word}(?:[^A-Za-z0-9\\x{{80}}-\\x{{10FFFF}}]+{word}){{0,{k - 1}}}", 0))
+    likely = lambda x: F.lower(x["head"]).isin(openers) & first(x["s"], HEAD).isin(heads)
+    inner = lambda s: F.filter(F.transform(F.split(s, COLON), normalised), lambda y: y != "")
+    # a piece holds a word at least, so a known sentence of n words has n pieces at most; an empty one keeps runs off blank lines
+    run = lambda tail: F.substring(F.array_join(F.flatten(F.transform(tail, lambda x: F.when(x["head"] == "", F.array(F.lit(""))).otherwise(inner(x["s"])))), "\n"), 1, n_chars + 1)
+    pieces = F.transform(F.split(F.regexp_replace(F.translate(F.coalesce(F.col("text"), F.lit("")), MARK, "\x02"), BLANK, "\n" + MARK), ENDS), lambda s, i: F.struct(i.alias("position"), s.alias("s"), F.regexp_extract(s, word, 0).alias("head")))
+    pieces = F.filter(pieces, lambda x: (x["head"] != "") | F.contains(x["s"], F.lit(MARK)))
+    starts = lambda p: F.filter(F.transform(p, lambda x, j: F.struct(x["position"].alias("position"), x["s"].alias("s"), x["head"].alias("head"), j.alias("j"))), likely)
+    runs = let(pieces, lambda p: F.transform(starts(p), lambda x: F.struct(x["position"].alias("position"), F.substring(normalised(x["s"]), 1, n_chars + 1).alias("one"), run(F.slice(p, x["j"] + 1, n_words)).alias("run"))))
+    found = docs.select(*key, F.explode(runs).alias("x")).dropDuplicates(["doc_id", "text_key", "x"])
+    found = found.select("doc_id", "text_key", "x.position", "x.one", "x.run", F.substring_index("x.one", " ", 1).alias("opener")).join(F.broadcast(known), "opener")
+    size = F.length("sentence")
+    over = (size > F.length("one")) & F.startswith(F.translate("run", "\n", " "), F.col("sentence")) & F.substring(F.col("run"), size + 1, F.lit(1)).isin("", "\n")
+    found = found.where((F.col("one") == F.col("sentence")) | over)
     found = found.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("position", "sentence_id"))).alias("known"))
     found = found.withColumn("ids", F.col("known.sentence_id"))
     hits = found.select("*", F.posexplode("ids").alias("first", "lead")).withColumnRenamed("ids", "all_ids").join(F.broadcast(ordered), "lead")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from basalt.llm import op03_katz_backoff as op3
 from basalt.llm import op06_best_fit_packing as op6
+from basalt.llm import op10_license_scan as op10
 
 
 def test_katz_keeps_pairs_seen_once(spark):
@@ -56,3 +57,25 @@ def test_packing_exchanges_two_for_one_from_bins_of_many_pieces():
     bins._open()
     bins._empty(1)
     assert bins.fill == [1000, 409] and bins.bin[1] == 1
+
+
+def test_license_notices_wrapped_over_lines(spark):
+    mit = """Copyright (c) 2001 A\n\nPermission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.\n"""
+    gpl = """# This program is free software{} you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version {} of the License, or
+# (at your option) any later version.\n#\n# This program is distributed"""
+    mpl = " * This Source Code Form is subject to the terms of the Mozilla Public\r\n * License, v. 2.0. If a copy\r\n"
+    texts = [mit, gpl.format(":", 3), gpl.format(";", 2), mpl, mit.replace("any person", "any\n \nperson"), gpl.format(":", 3).replace("as published", "as\n#\n# published"), "All rights\nreserved by A", "x. ! .\nAll rights.\nreserved\ny"]
+    rows = op10.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {r.doc_id: ([x.sentence_id for x in r.known], [x.license for x in r.matches]) for r in rows}
+    assert got[0] == ([18, 19], ["mit"]) and got[1] == ([9], ["gpl-3.0-or-later"]) and got[2] == ([10], ["gpl-2.0-or-later"]) and got[3] == ([27], ["mpl-2.0"])
+    assert got[4] == ([19], []) and got[5] == ([], []) and got[6] == ([], []) and got[7] == ([17], ["all-rights-reserved"])
