@@ -1,27 +1,32 @@
 """Near duplicates by MinHash with sequential Bayesian verification.
 
 1. A document's set: its distinct k-word shingles (as 64-bit hashes), or its whole sequence if it has fewer words.
-   Equal sets form one class (128-bit set hash); only the class's smallest doc_id goes on.
+   Equal sets form one class (128-bit set hash), which goes on once, under a number of its own.
 2. Signatures are cut in bands; the members of a band's bucket are candidates.  Rows a band are the most that miss a
    pair at the threshold with a probability of at most ``miss``.
 3. Each member is compared with its bucket's smallest.  Signatures are compared batch by batch: with m of n hashes
    equal the similarity's posterior is Beta(m + 1, n - m + 1), and a pair is pruned once the probability of the
    threshold falls below ``miss``.  Survivors are verified on the full sets.
 4. Links give components.  Only buckets whose members lie in several components can still hide a link; there all pairs
-   of different components are compared, in blocks of bounded size that carry the full sets: each pair in the first
-   band on which it agrees, by signature batches and then on the sets.  A block answers with links that join
+   of different components are compared, in blocks of bounded size.  Members are dealt by classes of their sets' size,
+   as wide as the threshold, so that only blocks of one class or of neighbouring ones meet: each pair in the first
+   band on which it agrees, by signature batches and then on the sets.  A pair of blocks answers with links that join
    components, at most one a member.  So each candidate pair is tested unless its ends are connected already, and no
    bucket is capped, and no list of its pairs is written.
 
+Buckets that hold a share of 1/HOT of all band rows or more, so at most HOT of them, are joined by broadcast: no task
+gets all rows of a hot bucket.
+
 Rows: one per row of documents.  Null, empty or blank text: no shingles, never linked.  A null doc_id: never linked,
-component_id null, kept.  Rows that share a doc_id are judged each by its own text.  Equal similarity to the
-threshold links.  Empty table: no rows.  Texts of any length are taken whole.  Further columns are ignored.
+component_id null, kept.  Rows that share a doc_id are judged each by their own text: classes are told apart by their
+sets, and a class's doc_id is only looked up for the answer.  Equal similarity to the threshold links.  Empty table:
+no rows.  Texts of any length are taken whole.  Further columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb
+from math import comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +34,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import chunks, table, written
+from .shared import HOT, chunks, from_bytes, hot_join, table, to_bytes, written
 from .text_arrays import Words, mix, shingles
 
 BATCH = 24
 #: Members, and bytes of their sets, a block aims at.
-BLOCK, BLOCK_BYTES = 1024, 4 << 20
+BLOCK, BLOCK_BYTES = 2048, 8 << 20
 
 
 def seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +103,7 @@ def set_hash(values: np.ndarray) -> tuple[int, int]:
 
 
 def signed(docs: DataFrame, k: int, hashes: int) -> DataFrame:
-    """(doc_id, n_shingles, hi, lo, sig) of every row."""
+    """(doc_id, text_key, n_shingles, hi, lo, sig) of every row; text_key: xxhash64 of the text."""
     flips, factors = seeds(hashes)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,9 +115,9 @@ def signed(docs: DataFrame, k: int, hashes: int) -> DataFrame:
                 his.append(hi)
                 los.append(lo)
                 sigs.append(signature(values, flips, factors).tobytes() if len(values) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(his, pa.int64()), pa.array(los, pa.int64()), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "hi", "lo", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(sizes, pa.int64()), pa.array(his, pa.int64()), pa.array(los, pa.int64()), pa.array(sigs, pa.binary())], names=["doc_id", "text_key", "n_shingles", "hi", "lo", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, n_shingles long, hi long, lo long, sig binary")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(work, "doc_id long, text_key long, n_shingles long, hi long, lo long, sig binary")
 
 
 def _sigs(column: pa.Array, hashes: int) -> np.ndarray:
@@ -152,15 +157,18 @@ def plausible(pairs: DataFrame, reps: DataFrame, hashes: int, least: list[tuple[
 
 
 def full_sets_of(ends: DataFrame, reps: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(rep, members): the sorted shingles of each rep of ends, as a written table."""
-    ends = ends.join(reps.select("rep", "hi", "lo"), "rep")
+    """(rep, members): the sorted shingles of each class of ends, as a written table.
+
+    They are read from the texts of the class's doc_id whose set is the class's.
+    """
+    ends = ends.join(reps.select("rep", "doc", "hi", "lo"), "rep")
 
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", 2 << 20):
             held = [(i, v.tobytes()) for i, v in enumerate(sets_of(batch.column("text"), k)) if set_hash(v) == (batch.column("hi")[i].as_py(), batch.column("lo")[i].as_py())]
             yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array([i for i, _ in held], pa.int64())), pa.array([v for _, v in held], pa.binary())], names=["rep", "members"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(ends, "rep")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(ends, "doc")
     return written(texts.select("rep", "hi", "lo", "text").mapInArrow(full_sets, "rep long, members binary").dropDuplicates(["rep"]), "shingle-sets")
 
 
@@ -183,33 +191,69 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(linked, "a long, b long")
 
 
+def packed_blocks(members: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(key, class, sub, payload): the members (key, rep, component, size) of each bucket in blocks of bounded size.
+
+    class: the set's size on a logarithmic scale whose unit is the threshold, so that sets of classes further apart
+    than one cannot reach it; sub: a part of a class of a bucket, by the class number's hash.
+    """
+    width = -log(percent / 100) * 1.000001 if percent < 100 else 1e-6  # a little more than a threshold's ratio
+    dealt = members.withColumn("class", F.floor(F.log("size") / width))
+    subs = dealt.groupBy("key", "class").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") * 8 / BLOCK_BYTES)).cast("int").alias("subs"))
+    dealt = hot_join(dealt, written(subs, "block-counts"), ["key", "class"])
+    dealt = dealt.withColumn("sub", F.pmod(F.xxhash64("rep"), F.col("subs")).cast("int"))
+    dealt = dealt.join(reps.select("rep", "sig"), "rep").join(sets, "rep").select("key", "class", "sub", "component", "rep", "sig", "members")
+
+    def pack(t: pa.Table) -> pa.Table:
+        one = [t.column(c)[0].as_py() for c in ("key", "class", "sub")]
+        body = to_bytes(t.select(["component", "rep", "sig", "members"]).combine_chunks())
+        return pa.table({"key": [one[0]], "class": [one[1]], "sub": [one[2]], "payload": [body]}, schema=pa.schema([("key", pa.int64()), ("class", pa.int64()), ("sub", pa.int32()), ("payload", pa.binary())]))
+
+    return written(dealt.groupBy("key", "class", "sub").applyInArrow(pack, "key long, class long, sub int, payload binary"), "blocks")
+
+
+def meetings(blocks: DataFrame) -> DataFrame:
+    """(key, c, i, d, j, payload): each block once for each pair of blocks (c, i), (d, j) of its bucket that it belongs to."""
+    meta = blocks.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"))
+    near = meta.select("key", F.explode(F.array(*[F.struct((F.col("class") + x).alias("class"), F.lit(x).alias("x"), "n") for x in (-1, 0, 1)])).alias("m")).select("key", "m.class", "m.x", "m.n")
+    # numbers of blocks of the class below (x = 1), of the own class, and of the one above
+    count = lambda x: F.max(F.when(F.col("x") == x, F.col("n"))).alias(f"n{x + 1}")
+    near = near.groupBy("key", "class").agg(count(-1), count(0), count(1)).where("n1 IS NOT NULL")
+    rows = hot_join(blocks, near, ["key", "class"])
+    upto = lambda n: F.when(F.col(n).isNotNull(), F.sequence(F.lit(0), (F.col(n) - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+    pair = lambda c, i, d, j: F.struct(c.alias("c"), i.alias("i"), d.alias("d"), j.alias("j"))
+    c, s = F.col("class"), F.col("sub")
+    own = F.transform(upto("n1"), lambda o: pair(c, F.least(s, o), c, F.greatest(s, o)))
+    below = F.transform(upto("n2"), lambda o: pair(c - 1, o, c, s))
+    above = F.transform(upto("n0"), lambda o: pair(c, s, c + 1, o))
+    return rows.select("key", F.explode(F.concat(own, below, above)).alias("p"), "payload").select("key", "p.*", "payload")
+
+
 def cross_links(members: DataFrame, reps: DataFrame, sets: DataFrame, hashes: int, rows: int, least: list[tuple[int, int]], percent: int) -> DataFrame:
-    """Links (a, b) that join different components in each bucket of members (key, rep, component, n, size).
+    """Links (a, b) that join different components in each bucket of members (key, rep, component, size).
 
-    A bucket of n members is dealt into blocks by members and by size (shingles), and each pair of blocks is a group of
-    bounded size.  Links that the group's own links make needless are left out, so it has fewer links than members.
+    Pairs of blocks are groups of two rows at most.  Links that the group's own links make needless are left out, so it
+    has fewer links than members.
     """
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") * 8 / BLOCK_BYTES)).cast("int")
-    dealt = members.select("key", "rep", "component", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = dealt.join(reps.select("rep", "sig"), "rep").join(sets, "rep")
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "component", "rep", "sig", "members")
-    dealt = dealt.repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j")
-
-    def group(t: pa.Table) -> list[tuple[int, int]]:
-        rep, comp, block = (t.column(c).to_numpy().copy() for c in ("rep", "component", "block"))
-        apart = t.column("i")[0].as_py() != t.column("j")[0].as_py()
+    met = meetings(packed_blocks(members, reps, sets, percent))
+    names = ["key", "c", "i", "d", "j"]
+    met = met.repartition(*names).sortWithinPartitions(*names)
+
+    def compare(key: int, payloads: list[bytes]) -> list[tuple[int, int]]:
+        parts = [from_bytes(p) for p in payloads]
+        t = pa.concat_tables(parts)
+        block = np.repeat(np.arange(len(parts)), [p.num_rows for p in parts])
+        rep, comp = (t.column(c).to_numpy().copy() for c in ("rep", "component"))
         if len(rep) < 2 or (comp == comp[0]).all():
             return []
         sig = _sigs(t.column("sig").combine_chunks(), hashes)
         full = [np.frombuffer(x, np.uint64) for x in t.column("members").to_pylist()]
         size = np.array([len(x) for x in full])
-        key = t.column("key")[0].as_py()
         band = next(b for b in range(hashes // rows) if band_key(sig[:1], b, rows)[0] == key)
         found = []
         for x in range(len(rep) - 1):
             use = (comp[x + 1 :] != comp[x]) & (100 * np.minimum(size[x + 1 :], size[x]) >= percent * np.maximum(size[x + 1 :], size[x]))
-            if apart:
+            if len(parts) > 1:
                 use &= block[x + 1 :] != block[x]
             y = x + 1 + np.flatnonzero(use)
             if band and len(y):  # a pair that agrees on an earlier band is compared there
@@ -226,56 +270,59 @@ def cross_links(members: DataFrame, reps: DataFrame, sets: DataFrame, hashes: in
         return found
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last group may go on in the next batch
+        held: tuple | None = None
+        payloads: list[bytes] = []
         for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = t if held is None else pa.concat_tables([held, t])
-            keys = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j")])
-            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-            found, start = [], 0
-            for cut in cuts.tolist():
-                found += group(t.slice(start, cut - start))
-                start = cut
-            held = t.slice(start)
-            yield out(found)
-        if held is not None and held.num_rows:
-            yield out(group(held))
+            for at, payload in zip(zip(*(batch.column(n).to_pylist() for n in names), strict=True), batch.column("payload"), strict=True):
+                if at != held:
+                    if held:
+                        yield out(compare(held[0], payloads))
+                    held, payloads = at, []
+                payloads.append(payload.as_py())
+        if held:
+            yield out(compare(held[0], payloads))
 
     def out(found: list[tuple[int, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
-    return dealt.mapInArrow(work, "a long, b long").distinct()
+    return met.mapInArrow(work, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, hashes: int = 120, miss: float = 1e-6) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row."""
+    """(doc_id, n_shingles, component_id, kept, text_key) of every row; text_key: xxhash64 of the text."""
     threshold = percent / 100
     rows, least = bands_of(threshold, hashes, miss), least_matches(threshold, hashes, miss)
     all_rows = written(signed(docs, k, hashes), "signatures")
     usable = all_rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    reps = written(usable.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")), "classes")
+    reps = usable.groupBy("hi", "lo").agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
+    reps = written(reps.select(F.monotonically_increasing_id().alias("rep"), "*"), "classes")
     bands = written(banded(reps, hashes, rows), "bands")
-    heads = written(bands.groupBy("key").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).where("n > 1"), "buckets")
-    star = written(bands.join(heads, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "star-pairs")
+    heads = bands.groupBy("key").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).where("n > 1")
+    heads = written(heads, "buckets")
+    hot = heads.where(F.col("n") * HOT >= max(1, reps.count() * (hashes // rows))).select("key")
+    star = written(hot_join(bands, heads.select("key", "a"), ["key"], hot).where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "star-pairs")
     links = written(verified(written(plausible(star, reps, hashes, least), "survivors"), reps, docs, k, percent), "star-links")
     found = written(components(links), "star-components")
-    members = bands.drop("size").join(heads.select("key", "n", "size"), "key").join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"), "n", "size")
+    members = hot_join(bands, heads.select("key"), ["key"], hot).join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", "size", F.coalesce("component", "rep").alias("component"))
     members = written(members, "members")
-    mixed = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    open_ = written(members.join(mixed, "key"), "open-buckets")
+    mixed = written(members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key"), "open-keys")
+    open_ = written(hot_join(members, mixed, ["key"], hot), "open-buckets")
     if not open_.isEmpty():
         sets = full_sets_of(open_.select("rep").distinct(), reps, docs, k)
         new = written(cross_links(open_, reps, sets, hashes, rows, least, percent), "cross-links")
         if not new.isEmpty():
             found = written(components(links.union(new)), "all-components")
-    classes = reps.select("hi", "lo", "rep").join(found, F.col("rep") == F.col("node"), "left").select(F.col("hi").alias("c_hi"), F.col("lo").alias("c_lo"), F.coalesce("component", "rep").alias("c"))
+    classes = reps.select("hi", "lo", "rep", "doc").join(found, F.col("rep") == F.col("node"), "left").select("hi", "lo", "doc", F.coalesce("component", "rep").alias("component"))
+    classes = written(classes, "class-components")
+    names = classes.groupBy("component").agg(F.min("doc").alias("c"))
+    classes = classes.join(names, "component").select(F.col("hi").alias("c_hi"), F.col("lo").alias("c_lo"), "c")
     out = all_rows.drop("sig").join(classes, F.expr("hi = c_hi AND lo = c_lo AND n_shingles > 0 AND doc_id IS NOT NULL"), "left")
     component = F.coalesce("c", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_key")
 
 
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+    return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85).drop("text_key")
 
 
 def _oracle(k: int = 3, percent: int = 85) -> str:

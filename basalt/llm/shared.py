@@ -70,6 +70,24 @@ def dropped(*tables: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+#: A key with a share of 1/HOT of the rows or more is hot, so there are at most HOT hot keys.
+HOT = 4096
+
+
+def hot_join(rows: DataFrame, facts: DataFrame, keys: list[str], hot: DataFrame | None = None) -> DataFrame:
+    """rows joined with facts (one row per key) on keys, so that no task gets all rows of a hot key.
+
+    hot: the hot values of the first key, at most HOT; their facts are broadcast (HOT rows times the facts a first key
+    has).  Not given: those of the keys with a share of 1/HOT of the rows or more, which takes a count of rows by key.
+    """
+    if hot is None:
+        counts = rows.groupBy(keys[0]).agg(F.count(F.lit(1)).alias("n"))
+        hot = written(counts.where(F.col("n") * HOT >= max(1, rows.count())).where("n > 1").select(keys[0]), "hot-keys")
+    hot = F.broadcast(hot.select(keys[0]))
+    split = rows.join(F.broadcast(facts.join(hot, keys[0], "left_semi")), keys)
+    return split.unionByName(rows.join(hot, keys[0], "left_anti").join(facts, keys))
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

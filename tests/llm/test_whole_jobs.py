@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from basalt.llm import op03_katz_backoff as op3
+from basalt.llm import op04_minhash_dedup as op4
 from basalt.llm import op06_best_fit_packing as op6
 from basalt.llm import op10_license_scan as op10
 
@@ -79,3 +80,34 @@ copies or substantial portions of the Software.\n"""
     got = {r.doc_id: ([x.sentence_id for x in r.known], [x.license for x in r.matches]) for r in rows}
     assert got[0] == ([18, 19], ["mit"]) and got[1] == ([9], ["gpl-3.0-or-later"]) and got[2] == ([10], ["gpl-2.0-or-later"]) and got[3] == ([27], ["mpl-2.0"])
     assert got[4] == ([19], []) and got[5] == ([], []) and got[6] == ([], []) and got[7] == ([17], ["all-rights-reserved"])
+
+
+def test_near_duplicates_of_one_doc_id_with_two_texts(spark, monkeypatch):
+    """Rows that share a doc_id are judged each by their own text, in stars and in blocks; the pipeline keeps the other text."""
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (1, b), (5, a + " more"), (6, b + " more"), (5, c), (None, a), (7, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in op4.near_duplicates(docs).collect() if r.doc_id is not None)
+    assert got == [(1, 56, 1, True), (1, 56, 1, True), (5, 56, 5, True), (5, 57, 1, False), (6, 57, 1, False), (7, 0, 7, True), (8, 0, 8, True)]
+    wide = docs.selectExpr("doc_id", "text", "'en' AS lang", "null AS source", "1L AS n_chars", "'x' AS kept", "0 AS hi")
+    left = corpus_pipeline.near_dedup(spark, wide, "").collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in left) == sorted([(1, a), (1, b), (5, c), (0, a), (7, ""), (8, "")])
+
+
+def test_blocks_meet_across_classes_of_size(spark, monkeypatch):
+    """Sets of all sizes in one bucket, in blocks of few members: links equal brute force."""
+    monkeypatch.setattr(op4, "BLOCK", 16)
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(900)]
+    rows = [(i, " ".join(base[: rng.randint(100, 900)] + [f"z{i}"])) for i in range(90)]
+    got = {r.doc_id: r.component_id for r in op4.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=1, percent=97).collect()}
+    sets = [set(t.split()) for _, t in rows]
+    top = list(range(len(rows)))
+    for _ in range(20):
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets):
+                if 100 * len(x & y) >= 97 * len(x | y):
+                    top[i] = top[j] = min(top[i], top[j])
+    assert got == dict(enumerate(top)) and 1 < len(set(top)) < 90
