@@ -5,20 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import HOT, written
+from .shared import hot_join, hot_keys, written
 
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def _with_least(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
-    """edges (u, v) with m of their u; those of the nodes with a share of 1/HOT of the edges, so at most HOT, by broadcast."""
-    hot = F.col("n") * HOT >= max(1, total)
-    few = F.broadcast(least.where(hot))
-    return edges.join(few, "u").unionByName(edges.join(few.select("u"), "u", "left_anti").join(least.where(~hot), "u"))
-
-
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component): the least node that each node of links (columns a, b) reaches.
 
@@ -34,7 +27,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
             break
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n")), "least")
-        large = _with_least(both.where("v > u"), least, 2 * state[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        large = hot_join(both.where("v > u"), least.select("u", "m"), ["u"], hot_keys(least, "u", 2 * state[0])).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         large = written(large, "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         # a node's smaller neighbours are the least of as many nodes, each seen from its other neighbours

@@ -14,8 +14,8 @@
    components, at most one a member.  So each candidate pair is tested unless its ends are connected already, and no
    bucket is capped, and no list of its pairs is written.
 
-Buckets that hold a share of 1/HOT of all band rows or more, so at most HOT of them, are joined by broadcast: no task
-gets all rows of a hot bucket.
+Buckets that hold a share of 1/HOT of all band rows or more, so at most HOT of them, are joined by broadcast of what
+is known of them: no task gets all rows of a hot bucket.
 
 Rows: one per row of documents.  Null, empty or blank text: no shingles, never linked.  A null doc_id: never linked,
 component_id null, kept.  Rows that share a doc_id are judged each by their own text: classes are told apart by their
@@ -34,12 +34,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import HOT, chunks, from_bytes, hot_join, table, to_bytes, written
+from .shared import chunks, from_bytes, hot_join, hot_keys, table, to_bytes, written
 from .text_arrays import Words, mix, shingles
 
 BATCH = 24
 #: Members, and bytes of their sets, a block aims at.
-BLOCK, BLOCK_BYTES = 2048, 8 << 20
+BLOCK, BLOCK_BYTES = 1024, 8 << 20
 
 
 def seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -191,7 +191,7 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(linked, "a long, b long")
 
 
-def packed_blocks(members: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def packed_blocks(members: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, hot: list[int]) -> DataFrame:
     """(key, class, sub, payload): the members (key, rep, component, size) of each bucket in blocks of bounded size.
 
     class: the set's size on a logarithmic scale whose unit is the threshold, so that sets of classes further apart
@@ -200,7 +200,7 @@ def packed_blocks(members: DataFrame, reps: DataFrame, sets: DataFrame, percent:
     width = -log(percent / 100) * 1.000001 if percent < 100 else 1e-6  # a little more than a threshold's ratio
     dealt = members.withColumn("class", F.floor(F.log("size") / width))
     subs = dealt.groupBy("key", "class").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") * 8 / BLOCK_BYTES)).cast("int").alias("subs"))
-    dealt = hot_join(dealt, written(subs, "block-counts"), ["key", "class"])
+    dealt = hot_join(dealt, written(subs, "block-counts"), ["key", "class"], hot)
     dealt = dealt.withColumn("sub", F.pmod(F.xxhash64("rep"), F.col("subs")).cast("int"))
     dealt = dealt.join(reps.select("rep", "sig"), "rep").join(sets, "rep").select("key", "class", "sub", "component", "rep", "sig", "members")
 
@@ -212,14 +212,14 @@ def packed_blocks(members: DataFrame, reps: DataFrame, sets: DataFrame, percent:
     return written(dealt.groupBy("key", "class", "sub").applyInArrow(pack, "key long, class long, sub int, payload binary"), "blocks")
 
 
-def meetings(blocks: DataFrame) -> DataFrame:
+def meetings(blocks: DataFrame, hot: list[int]) -> DataFrame:
     """(key, c, i, d, j, payload): each block once for each pair of blocks (c, i), (d, j) of its bucket that it belongs to."""
     meta = blocks.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"))
     near = meta.select("key", F.explode(F.array(*[F.struct((F.col("class") + x).alias("class"), F.lit(x).alias("x"), "n") for x in (-1, 0, 1)])).alias("m")).select("key", "m.class", "m.x", "m.n")
     # numbers of blocks of the class below (x = 1), of the own class, and of the one above
     count = lambda x: F.max(F.when(F.col("x") == x, F.col("n"))).alias(f"n{x + 1}")
     near = near.groupBy("key", "class").agg(count(-1), count(0), count(1)).where("n1 IS NOT NULL")
-    rows = hot_join(blocks, near, ["key", "class"])
+    rows = hot_join(blocks, near, ["key", "class"], hot)
     upto = lambda n: F.when(F.col(n).isNotNull(), F.sequence(F.lit(0), (F.col(n) - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
     pair = lambda c, i, d, j: F.struct(c.alias("c"), i.alias("i"), d.alias("d"), j.alias("j"))
     c, s = F.col("class"), F.col("sub")
@@ -229,13 +229,13 @@ def meetings(blocks: DataFrame) -> DataFrame:
     return rows.select("key", F.explode(F.concat(own, below, above)).alias("p"), "payload").select("key", "p.*", "payload")
 
 
-def cross_links(members: DataFrame, reps: DataFrame, sets: DataFrame, hashes: int, rows: int, least: list[tuple[int, int]], percent: int) -> DataFrame:
+def cross_links(members: DataFrame, reps: DataFrame, sets: DataFrame, hashes: int, rows: int, least: list[tuple[int, int]], percent: int, hot: list[int]) -> DataFrame:
     """Links (a, b) that join different components in each bucket of members (key, rep, component, size).
 
     Pairs of blocks are groups of two rows at most.  Links that the group's own links make needless are left out, so it
     has fewer links than members.
     """
-    met = meetings(packed_blocks(members, reps, sets, percent))
+    met = meetings(packed_blocks(members, reps, sets, percent, hot), hot)
     names = ["key", "c", "i", "d", "j"]
     met = met.repartition(*names).sortWithinPartitions(*names)
 
@@ -299,7 +299,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, hashes: int
     bands = written(banded(reps, hashes, rows), "bands")
     heads = bands.groupBy("key").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).where("n > 1")
     heads = written(heads, "buckets")
-    hot = heads.where(F.col("n") * HOT >= max(1, reps.count() * (hashes // rows))).select("key")
+    hot = hot_keys(heads, "key", reps.count() * (hashes // rows))
     star = written(hot_join(bands, heads.select("key", "a"), ["key"], hot).where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "star-pairs")
     links = written(verified(written(plausible(star, reps, hashes, least), "survivors"), reps, docs, k, percent), "star-links")
     found = written(components(links), "star-components")
@@ -309,9 +309,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, hashes: int
     open_ = written(hot_join(members, mixed, ["key"], hot), "open-buckets")
     if not open_.isEmpty():
         sets = full_sets_of(open_.select("rep").distinct(), reps, docs, k)
-        new = written(cross_links(open_, reps, sets, hashes, rows, least, percent), "cross-links")
-        if not new.isEmpty():
-            found = written(components(links.union(new)), "all-components")
+        new = written(cross_links(open_, reps, sets, hashes, rows, least, percent, hot), "cross-links")
+        if not new.isEmpty():  # links between the components found so far
+            of = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
+            between = new.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+            merged = written(components(between), "merged-components")
+            old = found.select("node", "component").union(between.select("a", "a")).union(between.select("b", "b")).distinct()
+            found = old.join(merged.select(F.col("node").alias("component"), F.col("component").alias("c")), "component", "left").select("node", F.coalesce("c", "component").alias("component"))
+            found = written(found, "all-components")
     classes = reps.select("hi", "lo", "rep", "doc").join(found, F.col("rep") == F.col("node"), "left").select("hi", "lo", "doc", F.coalesce("component", "rep").alias("component"))
     classes = written(classes, "class-components")
     names = classes.groupBy("component").agg(F.min("doc").alias("c"))

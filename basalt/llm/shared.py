@@ -74,18 +74,21 @@ def dropped(*tables: DataFrame) -> None:
 HOT = 4096
 
 
-def hot_join(rows: DataFrame, facts: DataFrame, keys: list[str], hot: DataFrame | None = None) -> DataFrame:
-    """rows joined with facts (one row per key) on keys, so that no task gets all rows of a hot key.
+def hot_keys(counts: DataFrame, key: str, total: int) -> list[int]:
+    """The keys of counts (key, n) that hold 1/HOT of total rows or more: at most HOT numbers, whatever the input."""
+    return [r[0] for r in counts.where((F.col("n") * HOT >= max(1, total)) & (F.col("n") > 1)).select(key).limit(HOT).collect()]
 
-    hot: the hot values of the first key, at most HOT; their facts are broadcast (HOT rows times the facts a first key
-    has).  Not given: those of the keys with a share of 1/HOT of the rows or more, which takes a count of rows by key.
+
+def hot_join(rows: DataFrame, facts: DataFrame, keys: list[str], hot: list[int]) -> DataFrame:
+    """rows joined with facts (one row per value of keys), so that no task gets all rows of a hot key.
+
+    hot: the hot values of the first key, at most HOT (see hot_keys); their facts are broadcast, so a first key must
+    have few.
     """
-    if hot is None:
-        counts = rows.groupBy(keys[0]).agg(F.count(F.lit(1)).alias("n"))
-        hot = written(counts.where(F.col("n") * HOT >= max(1, rows.count())).where("n > 1").select(keys[0]), "hot-keys")
-    hot = F.broadcast(hot.select(keys[0]))
-    split = rows.join(F.broadcast(facts.join(hot, keys[0], "left_semi")), keys)
-    return split.unionByName(rows.join(hot, keys[0], "left_anti").join(facts, keys))
+    if not hot:
+        return rows.join(facts, keys)
+    is_hot = F.col(keys[0]).isin(hot)
+    return rows.where(is_hot).join(F.broadcast(facts.where(is_hot)), keys).unionByName(rows.where(~is_hot).join(facts.where(~is_hot), keys))
 
 
 def lower_ascii(text: Column) -> Column:
