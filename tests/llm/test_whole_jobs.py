@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from basalt.llm import op03_katz_backoff as op3
@@ -13,31 +14,51 @@ from basalt.llm import op06_best_fit_packing as op6
 from basalt.llm import op10_license_scan as op10
 
 
-def test_katz_keeps_pairs_seen_once(spark):
-    """Every seen pair has its discounted probability, those seen once too: scores equal a brute-force model."""
+@pytest.mark.parametrize("order, codes", [(2, 65535), (3, 65535), (4, 10)])
+def test_katz_equals_brute_force(spark, monkeypatch, order, codes):
+    """Every seen n-gram has its discounted probability, those seen once too; contexts sum to one; hot keys or none."""
+    monkeypatch.setattr(op3, "CODES", codes)
+    monkeypatch.setattr(op3, "CHUNK", 2000)
     rng = random.Random(5)
     names = [f"w{i}" for i in range(40)]
     texts = [" ".join(rng.choices(names, weights=[1 / (i + 1) for i in range(40)], k=rng.randint(1, 30))) + f" x{i}" for i in range(60)]
+    texts += ["", "w0 w1 w2 w3 w4 w5 w6", "w0 w1 w2 w3 w4 w5 w6", "unseen w0 unseen"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    train = [t.split() + ["</s>"] for i, t in enumerate(texts) if i % 3]
-    one = Counter(w for t in train for w in t)
-    pairs = Counter(p for t in train for p in zip(["<s>", *t], t, strict=False))
-    n, contexts = sum(one.values()), Counter(u for t in train for u in ["<s>", *t[:-1]])
-    assert sum(c == 1 for c in pairs.values()) > 50
-    d1, d2 = (op3.good_turing({r: sum(c == r for c in x.values()) for r in range(1, op3.TOP + 2)}) for x in (one, pairs))
-    p = {w: d1[min(c, op3.TOP + 1)] * c / n for w, c in one.items()}
-    unseen = max(1 - sum(p.values()), 1e-12)
-    kept = {(u, w): d2[min(c, op3.TOP + 1)] * c for (u, w), c in pairs.items()}
-    total, a = {}, {}
-    for u, c in contexts.items():
-        s = sum(x for (v, _), x in kept.items() if v == u)
-        total[u] = c + 1 if c - s < 1e-9 * c else c
-        a[u] = (1 - s / total[u]) / (1 - sum(p[w] for v, w in kept if v == u))
-    q = lambda u, w: kept[u, w] / total[u] if (u, w) in kept else a.get(u, 1) * p.get(w, unseen)
-    got = {r.doc_id: r.score for r in op3.scores(docs, op3.Model(docs, F.col("doc_id") % 3 != 0)).collect()}
+    learns = lambda i: i % 3 != 0 and i < 63
+    c = [None, *[Counter() for _ in range(order)]]
     for i, t in enumerate(texts):
-        t = [*t.split(), "</s>"]
-        assert abs(got[i] - sum(math.log10(q(u, w)) for u, w in zip(["<s>", *t], t, strict=False))) < 1e-9 * len(t) + 1e-9, i
+        w = ("<s>", *t.split(), "</s>")
+        if learns(i):
+            for k in range(1, order + 1):
+                c[k].update(w[j - k + 1 : j + 1] for j in range(max(k - 1, 1), len(w)))
+    n = sum(c[1].values())
+    d = [None, *[op3.good_turing({r: sum(x == r for x in c[k].values()) for r in range(1, op3.TOP + 2)}) for k in range(1, order + 1)]]
+    kept = [None, *[{g: d[k][min(x, op3.TOP + 1)] * x for g, x in c[k].items()} for k in range(1, order + 1)]]
+    unseen = 1 - sum(kept[1].values()) / n
+    followers = {}
+    for k in range(2, order + 1):
+        for g in c[k]:
+            followers.setdefault(g[:-1], []).append(g)
+
+    def p(g):
+        if len(g) == 1:
+            return kept[1][g] / n if g in kept[1] else unseen
+        k, own = len(g), followers.get(g[:-1])
+        if not own:
+            return p(g[1:])
+        used, total = sum(kept[k][x] for x in own), sum(c[k][x] for x in own)
+        total += total - used < 1e-9 * total
+        return kept[k][g] / total if g in kept[k] else (1 - used / total) / (1 - sum(p(x[1:]) for x in own)) * p(g[1:])
+
+    for h in rng.sample(sorted(followers), 20):
+        assert abs(sum(p((*h, *w)) for w in c[1]) + p((*h, "?")) - 1) < 1e-9
+    got = {r.doc_id: r for r in op3.scores(docs, op3.Model(docs, (F.col("doc_id") % 3 != 0) & (F.col("doc_id") < 63), order)).collect()}
+    v = len(c[1])
+    for i, t in enumerate(texts):
+        w = ("<s>", *t.split(), "</s>")
+        assert abs(got[i].score - sum(math.log10(p(w[max(0, j - order + 1) : j + 1])) for j in range(1, len(w)))) < 1e-8, i
+        assert abs(got[i].base_score - sum(math.log10((c[1][x,] + 0.5) / (n + 0.5 * (v + 1))) for x in w[1:])) < 1e-9
+        assert (got[i].n_tokens, got[i].n_known) == (len(w) - 1, sum((x,) in c[1] for x in w[1:]))
 
 
 def test_packing_tries_every_bin():
