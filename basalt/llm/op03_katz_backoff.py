@@ -361,7 +361,7 @@ class Model:
         self.shared = shared = Scores(buckets, order)
         self.tables: list[DataFrame] = []
         for k in range(1, order + 1):
-            counts = written(self._sent(texts, k).groupBy("bucket").applyInArrow(merge_counts, MODEL_DDL), f"counts-{k}", ("kind",))
+            counts = written(self._sent(texts, k).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(merge_counts, MODEL_DDL), f"counts-{k}", ("kind",))
             stats = {r["context"]: r["c"] for r in counts.where("kind = 'stat'").groupBy("context").agg(F.sum("c").alias("c")).collect()}
             factors = good_turing({r: stats.get(r, 0) for r in range(1, TOP + 2)})
             shared.factors[k] = np.array(factors)
@@ -457,7 +457,8 @@ class Model:
             return pa.table([asked.column("home"), asked.column("bucket"), pa.array(out, pa.binary())], schema=REPLY)
 
         asks = grams.mapInArrow(ask, "home long, bucket long, payload binary")
-        replies = asks.groupBy("bucket").cogroup(self.tables[k - 2].groupBy("bucket")).applyInArrow(answer, "home long, target long, payload binary")
+        even = lambda df: df.repartition(shared.buckets, "bucket").groupBy("bucket")
+        replies = even(asks).cogroup(even(self.tables[k - 2])).applyInArrow(answer, "home long, target long, payload binary")
         gathered = replies.groupBy("home").agg(F.transform(F.sort_array(F.collect_list(F.struct("target", "payload"))), lambda x: x["payload"]).alias("low"))
         rows = grams.join(gathered, F.col("bucket") == F.col("home"), "left").select("bucket", "payload", "low")
         hot, factors, least = shared.hot[k], shared.factors[k], max(2, -(-shared.n // HOT))
@@ -604,7 +605,8 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     for k, t in enumerate(model.tables, 1):
         part = t.select(F.lit(k).alias("n"), "bucket", "payload")
         entries = part if entries is None else entries.unionByName(part)
-    answers = asks.groupBy("bucket").cogroup(entries.groupBy("bucket")).applyInArrow(answer, ASK_DDL)
+    even = lambda df: df.repartition(shared.buckets, "bucket").groupBy("bucket")  # noqa: E731  as many tasks as buckets, whatever the session's setting
+    answers = even(asks).cogroup(even(entries)).applyInArrow(answer, ASK_DDL)
     return answers.groupBy("chunk").applyInArrow(add, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
