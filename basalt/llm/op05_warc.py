@@ -7,10 +7,12 @@ parses records by their Content-Length, recomputes the payload digest, and joins
 through the concurrent-to identifiers: one nested row per capture.
 
 Of pages with equal payloads (at least ``revisit_bytes`` long) that with the largest page_id is the response, the
-others revisit it.  Rows that repeat both page_id and payload are all responses.  Null html: an empty payload.  A null
+others revisit it: their WARC-Refers-To is the response's record identifier, which is made of page_id and payload, and
+which reading resolves by a join.  Rows that repeat both page_id and payload are all responses; their identifiers
+differ by a copy number after the one they share, by which they are referred to.  Null html: an empty payload.  A null
 page_id is smaller than any other, and among its equals with no other all are responses.  Null url: an empty target.
 Line ends in a url are percent-encoded.  Empty table: no archives, no rows.  Payloads of any length are written whole.
-Further columns are ignored.
+An archive holds about ``archive_bytes`` before compression, or one longer page.  Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 from .shared import shared_dir, table, written
 
 DATE = "2024-01-01T00:00:00Z"
+COPY = "/copy-"
 RECORD = "archive string, record_id string, type string, concurrent_to string, refers_to string, target_uri string, payload_digest string, block_bytes long, payload_bytes long, digest_ok boolean, fields map<string,string>"
 
 
@@ -41,48 +44,62 @@ def record(kind: str, headers: list[tuple[str, str]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in lines).encode() + b"\r\n" + block
 
 
-def transaction(page_id: int | None, url: str, html: str, first: int | None, revisit: bool, number: int) -> bytes:
-    """The three records of a page, without the last record's closing line ends."""
-    payload, me = html.encode(), f"urn:x-capture:{page_id}:{number}"
+def identifier(page_id: int | None, digest: str) -> str:
+    """The name of the capture of a page with that payload."""
+    return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}:{digest}')}"
+
+
+def transaction(page_id: int | None, url: str, html: str, first: int | None, revisit: bool, copy: int | None) -> bytes:
+    """The three records of a page, without the last record's closing line ends; copy: tells repeated rows apart."""
+    payload = html.encode()
     digest = base32_sha1(payload)
+    me = identifier(page_id, digest) + ("" if copy is None else f"{COPY}{copy}")
     url = url.replace("\r", "%0D").replace("\n", "%0A")
     target = [("WARC-Target-URI", url)]
     host, _, path = url.partition("://")[2].partition("/")
-    capture = f"<{me}:capture>"
+    capture = f"<{me}>"
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     own = [("WARC-Record-ID", capture), *target, ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http; msgtype=response")]
     if revisit:
-        main = record("revisit", [*own, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:x-capture:{first}>")], head)
+        main = record("revisit", [*own, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<{identifier(first, digest)}>")], head)
     else:
         main = record("response", own, head + payload)
     about = [("WARC-Concurrent-To", capture), *target]
-    ask = record("request", [("WARC-Record-ID", f"<{me}:request>"), *about, ("Content-Type", "application/http; msgtype=request")], f"GET /{path} HTTP/1.1\r\nHost: {host}\r\n\r\n".encode())
-    meta = record("metadata", [("WARC-Record-ID", f"<{me}:metadata>"), *about, ("Content-Type", "application/warc-fields")], f"pageId: {'' if page_id is None else page_id}\r\npayloadLength: {len(payload)}\r\n".encode())
+    ask = record("request", [("WARC-Record-ID", f"<{me}/request>"), *about, ("Content-Type", "application/http; msgtype=request")], f"GET /{path} HTTP/1.1\r\nHost: {host}\r\n\r\n".encode())
+    meta = record("metadata", [("WARC-Record-ID", f"<{me}/metadata>"), *about, ("Content-Type", "application/warc-fields")], f"pageId: {'' if page_id is None else page_id}\r\npayloadLength: {len(payload)}\r\n".encode())
     return b"\r\n\r\n".join([ask, main, meta])
 
 
-def write_warc(pages: DataFrame, path: str, revisit_bytes: int = 0) -> None:
+def write_warc(pages: DataFrame, path: str, revisit_bytes: int = 0, archive_bytes: int = 256 << 20) -> None:
     """Writes pages (page_id, url, html) as gzipped WARC files below path."""
     rows = pages.select(F.col("page_id").cast("long"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("key", F.sha2(F.col("html"), 256))
-    long_enough = F.octet_length("html") >= revisit_bytes
-    firsts = rows.where(long_enough).groupBy("key").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "first")
-    # a plain equi-join, whose hot keys Spark splits
-    rows = rows.join(firsts, "key", "left").select("page_id", "url", "html", "first")
+    slim = rows.groupBy("key", "page_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("html") >= revisit_bytes).alias("long"))
+    slim = written(slim.where("page_id IS NOT NULL OR n > 1"), "page-keys")
+    firsts = slim.where("long").groupBy("key").agg(F.max("page_id").alias("first")).where("first IS NOT NULL")
+    again = slim.where("n > 1").select("key", F.col("page_id").alias("again_id"), F.lit(True).alias("again"))
+    # plain equi-joins, whose hot keys Spark splits
+    rows = rows.join(firsts, "key", "left").join(again.withColumnRenamed("key", "again_key"), F.expr("key = again_key AND page_id <=> again_id"), "left")
+    rows = rows.select("page_id", "url", "html", "first", F.coalesce("again", F.lit(False)).alias("again"))
+    part = min(archive_bytes, 8 << 20)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number = TaskContext.get().partitionId() << 40
+        number, out, size = TaskContext.get().partitionId() << 40, [], 0
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                out = []
-                for page, url, html, first in zip(*(batch.slice(start, 256).column(i).to_pylist() for i in range(4)), strict=True):
-                    out.append(transaction(page, url, html, first, first is not None and page != first, number).decode())
-                    number += 1
-                yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.string())})
+            for i in range(batch.num_rows):
+                page, url, html, first, again = (batch.column(c)[i].as_py() for c in range(5))
+                out.append(transaction(page, url, html, first, first is not None and page != first, number if again else None).decode())
+                number, size = number + 1, size + len(out[-1])
+                if size >= part:
+                    yield pa.RecordBatch.from_pydict({"value": pa.array(["\r\n\r\n".join(out)], pa.string())})
+                    out, size = [], 0
+        if out:
+            yield pa.RecordBatch.from_pydict({"value": pa.array(["\r\n\r\n".join(out)], pa.string())})
 
-    rows.mapInArrow(work, "value string").write.option("compression", "gzip").option("lineSep", "\r\n\r\n").text(path)
+    lines = rows.mapInArrow(work, "value string").write.option("maxRecordsPerFile", max(1, archive_bytes // part))
+    lines.option("compression", "gzip").option("lineSep", "\r\n\r\n").text(path)
 
 
 def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -148,11 +165,17 @@ def captures(records: DataFrame) -> DataFrame:
     return main.join(of("request"), F.col("record_id") == F.col("request_to"), "left").join(of("metadata"), F.col("record_id") == F.col("metadata_to"), "left").select("record_id", "record", "request", "metadata")
 
 
+def resolved(found: DataFrame) -> DataFrame:
+    """captures with response: the capture that a revisit refers to, by its record identifier (null: none, or not there)."""
+    name = F.regexp_replace("record_id", f"{COPY}\\d+>$", ">")
+    responses = found.where("record.type = 'response'").groupBy(name.alias("name")).agg(F.min_by(F.struct("record_id", "record", "metadata"), "record_id").alias("response"))
+    return found.join(responses, F.col("record.refers_to") == F.col("name"), "left").drop("name")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_warc(table(spark, sf_dir, "pages"), path)
-    got = captures(written(read_warc(spark, path), "warc-records"))
-    refers = F.regexp_extract("record.refers_to", r"^<urn:x-capture:(-?\d+)>$", 1).try_cast("long")
-    page = F.nullif(F.element_at("metadata.fields", "pageId"), F.lit("")).cast("long")
+    got = resolved(captures(written(read_warc(spark, path), "warc-records")))
+    page = lambda x: F.nullif(F.element_at(f"{x}.fields", "pageId"), F.lit("")).cast("long")
     digest = F.when(F.coalesce(F.col("record.digest_ok"), F.lit(True)), F.col("record.payload_digest"))
-    return got.select(page.alias("page_id"), F.element_at("metadata.fields", "payloadLength").cast("long").alias("payload_bytes"), digest.alias("payload_digest"), F.col("record.type").alias("record_type"), refers.alias("refers_to"))
+    return got.select(page("metadata").alias("page_id"), F.element_at("metadata.fields", "payloadLength").cast("long").alias("payload_bytes"), digest.alias("payload_digest"), F.col("record.type").alias("record_type"), page("response.metadata").alias("refers_to"))
