@@ -2,12 +2,15 @@
 
 A chain predicts its categories one after the other.  Each link is a linear (logistic) model over the presence of
 hashed word and character n-gram features, plus the probabilities of the categories before it.  While training, those
-are out-of-fold predictions: a fold's rows get them from models fitted on the other folds, so that later links learn
-from inputs as good as the ones they will meet.  Features enter if they tell the label's classes apart in the sample
-(present in ``least`` positive texts and at least ``lift`` times as often as among the negative ones).
+are out-of-fold predictions: a fold's rows get them from models fitted on the other folds, with features chosen on the
+other folds, so that later links learn from inputs as good as the ones they will meet.  Features enter if they tell the
+label's classes apart (present in ``least`` positive texts and at least ``lift`` times as often as among the negative
+ones).
 
-The labels table knows one toxicity label.  Further categories are derived from it: "toxic" is the label; "repeated"
-and "severe" are toxic texts that hold at least two and four of the words found in toxic training texts only.
+The labels table knows one toxicity label.  Further categories come before it in the chain: "severe" and "repeated" are
+texts that hold at least four and two of the words found in toxic training texts only, where a fold's texts are judged
+by the words of the other folds; "toxic", the last link, is the label, predicted from the features and the two
+probabilities before it.
 
 Trained on the driver on at most ``per_class`` labelled texts of each class, whole texts each; scored on all rows.
 Rows: one per row of documents.  Null or empty text: no features, so the models' biases.  A null doc_id is scored, and
@@ -30,7 +33,8 @@ from .features import labelled_sample, ranges, remainder, subwords
 from .shared import chunks, table, tidy
 from .text_arrays import Words
 
-CATEGORIES = {"toxic": 1, "repeated": 2, "severe": 4}
+#: In the chain's order: how many telling words make a category; 0 is the label itself.
+CATEGORIES = {"severe": 4, "repeated": 2, "toxic": 0}
 
 
 def present(texts: pa.Array, bits: int, low: int, high: int, chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -101,16 +105,22 @@ class Chain:
         return before
 
 
-def derived(texts: list[str], y: np.ndarray, categories: dict[str, int], least: int = 3) -> np.ndarray:
-    """A column a category: label 1 and as many occurrences as it asks of words found in texts of label 1 only."""
-    inside: Counter = Counter()
-    for text in (t for t, label in zip(texts, y, strict=True) if label):
-        inside.update(set(text.lower().split()))
-    telling = {w for w, n in inside.items() if n >= least}
-    for text in (t for t, label in zip(texts, y, strict=True) if not label):
-        telling.difference_update(text.lower().split())
-    held = np.array([sum(w in telling for w in t.lower().split()) for t in texts])
-    return np.column_stack([y if need <= 1 else (y > 0) & (held >= need) for need in categories.values()]).astype(float)
+def derived(texts: list[str], y: np.ndarray, fold: np.ndarray, categories: dict[str, int], least: int = 3) -> np.ndarray:
+    """A column a category: the label, or as many occurrences as it asks of telling words.
+
+    A word is telling for a fold if at least ``least`` texts of label 1, and none of label 0, hold it in the other folds.
+    """
+    words = [Counter(t.lower().split()) for t in texts]
+    toxic, clean = [[Counter() for _ in range(int(fold.max(initial=0)) + 1)] for _ in range(2)]
+    for w, label, f in zip(words, y, fold, strict=True):
+        (toxic if label else clean)[f].update(w.keys())
+    all_toxic, all_clean = sum(toxic, Counter()), sum(clean, Counter())
+    held = np.zeros(len(texts), np.int64)
+    for f in range(len(toxic)):
+        telling = {w for w, n in all_toxic.items() if n - toxic[f][w] >= least and all_clean[w] == clean[f][w]}
+        for i in np.flatnonzero(fold == f):
+            held[i] = sum(n for w, n in words[i].items() if w in telling)
+    return np.column_stack([held >= need if need else y > 0 for need in categories.values()]).astype(float)
 
 
 def present_in(texts: list[str], *how, limit: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -129,28 +139,42 @@ def train(sample: list, counts: dict, categories: dict[str, int] = CATEGORIES, b
     if len({y for _, y, _ in sample}) < 2:
         return empty
     texts, y = [t for t, _, _ in sample], np.array([v for _, v, _ in sample])
-    positive, negative = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
-    for doc, feature in present_in(texts, bits, low, high):
-        positive += np.bincount(feature[y[doc] == 1], minlength=1 << bits)
-        negative += np.bincount(feature[y[doc] == 0], minlength=1 << bits)
-    odds = (positive / max(1, (y == 1).sum())) / ((negative + 0.5) / max(1, (y == 0).sum()))
-    chosen = np.flatnonzero((positive >= least) & (odds >= lift))
-    del positive, negative, odds
-    # a second reading keeps the chosen features only
-    doc, feature = (np.concatenate(x) for x in zip(*present_in(texts, bits, low, high, chosen), strict=True))
-    targets = derived(texts, y, categories)
     fold = np.arange(len(texts)) % folds  # the sample's order is that of hashed doc_ids
+    counted = np.zeros((2, folds, 1 << bits), np.int32)
+    for doc, feature in present_in(texts, bits, low, high):
+        np.add.at(counted, (y[doc], fold[doc], feature), 1)
+
+    def choose(use: np.ndarray) -> np.ndarray:
+        """The features that tell the classes apart in the folds use."""
+        negative, positive = counted[:, use].sum(axis=1)
+        size = [max(1, ((y == v) & np.isin(fold, use)).sum()) for v in (0, 1)]
+        return np.flatnonzero((positive >= least) & (positive / size[1] >= lift * (negative + 0.5) / size[0]))
+
+    every = [np.delete(np.arange(folds), k) for k in range(folds)] + [np.arange(folds)]
+    chosen = [choose(use) for use in every]
+    del counted
+    # a second reading keeps features that some choice has; each model numbers its own
+    union = np.unique(np.concatenate(chosen))
+    doc, feature = (np.concatenate(x) for x in zip(*present_in(texts, bits, low, high, union), strict=True))
+    rows = []
+    for c in chosen:
+        number = np.full(len(union), -1)
+        number[np.searchsorted(union, c)] = np.arange(len(c))
+        own = number[feature]
+        rows.append((doc[own >= 0], own[own >= 0], len(c)))
+    targets = derived(texts, y, fold, categories)
     drawn = np.bincount(y, minlength=2) / len(y)
     weight = np.where(y == 1, share / drawn[1], (1 - share) / drawn[0])  # back to the labels' shares
     everyone, before, links = np.ones(len(texts), bool), np.zeros((len(texts), 0)), []
     for j in range(len(names)):
-        links.append(fit(doc, feature, before, targets[:, j], everyone, len(chosen), weight))
+        d, f, n = rows[folds]
+        links.append(fit(d, f, before, targets[:, j], everyone, n, weight))
         out = np.zeros(len(texts))
-        for k in range(folds):
-            link = fit(doc, feature, before, targets[:, j], fold != k, len(chosen), weight)
-            out[fold == k] = link.predict(doc, feature, before)[fold == k]
+        for k in range(folds if j + 1 < len(names) else 0):
+            d, f, n = rows[k]
+            out[fold == k] = fit(d, f, before, targets[:, j], fold != k, n, weight).predict(d, f, before)[fold == k]
         before = np.column_stack([before, out])
-    return Chain(names, chosen, links, bits, low, high, share)
+    return Chain(names, chosen[folds], links, bits, low, high, share)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", trains: Column | None = None, per_class: int = 2000, categories: dict[str, int] = CATEGORIES) -> DataFrame:

@@ -132,3 +132,73 @@ def test_blocks_meet_across_classes_of_size(spark, monkeypatch):
                 if 100 * len(x & y) >= 97 * len(x | y):
                     top[i] = top[j] = min(top[i], top[j])
     assert got == dict(enumerate(top)) and 1 < len(set(top)) < 90
+
+
+def test_revisits_name_the_response(spark, tmp_path):
+    """WARC-Refers-To is the identifier of a record that is there, also where rows repeat; archives are bounded."""
+    from basalt.llm import op05_warc as op5
+
+    pages = [(i, f"http://h/{i}", "same" if i % 2 else f"own {i}", "x") for i in range(40)] + [(39, "http://h/39", "same", "y"), (None, None, "lone", None), (None, "u", "lone", "")]
+    op5.write_warc(spark.createDataFrame(pages, "page_id long, url string, html string, first string").repartition(3), f"{tmp_path}/w", archive_bytes=4000)
+    records = op5.read_warc(spark, f"{tmp_path}/w", payload=True).collect()
+    ids = [r.record_id for r in records]
+    assert len(ids) == len(set(ids)) == 3 * len(pages) and len({r.archive for r in records}) > 3
+    responses = {r.record_id: r for r in records if r.type == "response"}
+    revisits = [r for r in records if r.type == "revisit"]
+    assert len(revisits) == 19 and all(x.refers_to.rstrip(">") + "/copy-" in " ".join(responses) for x in revisits)
+    got = op5.resolved(op5.captures(op5.read_warc(spark, f"{tmp_path}/w"))).where("record.type = 'revisit'").collect()
+    assert {r.response.metadata.fields["pageId"] for r in got} == {"39"} and len(got) == 19
+    assert all(bytes(r.payload) in (b"same", b"lone") or r.payload.startswith(b"own") for r in responses.values())
+
+
+def toxic_texts(n):
+    rng = random.Random(4)
+    plain, bad = [f"plain{i}" for i in range(80)], [f"vile{i}" for i in range(12)]
+    y = [rng.random() < 0.4 for _ in range(n)]
+    return [" ".join(rng.choices(plain, k=30) + (rng.choices(bad, k=rng.randint(1, 6)) if t else [])) for t in y], [int(t) for t in y]
+
+
+def test_chain_feeds_earlier_categories_into_the_label():
+    """The label is the last link; it is told apart on held-out texts, and its inputs are out-of-fold predictions."""
+    import pyarrow as pa
+
+    from basalt.llm import op09_toxicity as op9
+
+    texts, y = toxic_texts(700)
+    chain = op9.train([(t, v, i) for i, (t, v) in enumerate(zip(texts[:400], y[:400], strict=True))], {0: 240, 1: 160})
+    assert chain.names == ["severe", "repeated", "toxic"] and [len(x.earlier) for x in chain.links] == [0, 1, 2]
+    p = chain.predict(pa.array(texts[400:]))
+    want = np.array(y[400:])
+    assert ((p[:, 2] >= 0.5) == want).mean() > 0.97 and (p[:, 0] <= p[:, 1] + 0.2).all()
+    assert np.abs(chain.links[2].earlier).max() > 0.05
+    # without the chain's inputs the last link's log odds are others
+    odds = lambda x: np.log(x / (1 - x))
+    cut = op9.Link(chain.links[2].weights, np.zeros(2), chain.links[2].bias)
+    doc, feature = op9.present(pa.array(texts[400:]), chain.bits, chain.low, chain.high, chain.chosen)
+    use = (p[:, 2] > 1e-6) & (p[:, 2] < 1 - 1e-6)
+    assert np.allclose((odds(p[:, 2]) - odds(cut.predict(doc, feature, p[:, :2])))[use], (p[:, :2] @ chain.links[2].earlier)[use], atol=1e-4) and (p[:, :2] @ chain.links[2].earlier).max() > 0.05
+
+
+def test_categories_are_judged_by_the_other_folds():
+    from basalt.llm import op09_toxicity as op9
+
+    texts = ["bad bad x", "bad y", "bad z bad", "x y", "only only only"]
+    y, fold = np.array([1, 1, 1, 0, 1]), np.array([0, 1, 2, 0, 1])
+    assert op9.derived(texts, y, fold, {"two": 2, "label": 0}, least=2)[:, 0].tolist() == [1, 0, 1, 0, 0]
+    assert op9.derived(texts, y, fold, {"two": 2, "label": 0}, least=3)[:, 0].tolist() == [0, 0, 0, 0, 0]
+
+
+def test_classifiers_by_held_out_labels(spark, tmp_path):
+    """Both classifiers tell classes apart on rows they have not learned from."""
+    import zlib
+
+    from basalt.llm import catalogue
+
+    texts, y = toxic_texts(600)
+    rows = [(i, t, "en", "s", len(t), 9.0) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double").coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1 - v, v) for i, v in enumerate(y)], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    for name, column, flip in (("op7_quality_classifier", "predicted", 1), ("op9_toxicity", "toxic", 0)):
+        got = {r.doc_id: r for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect()}
+        held = [i for i in got if zlib.crc32(str(i).encode()) % 4 == 2]
+        assert sum(got[i][column] == (1 - y[i] if flip else y[i]) for i in held) >= 0.95 * len(held), name
