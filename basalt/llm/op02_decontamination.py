@@ -1,10 +1,10 @@
 """Benchmark decontamination by winnowing, in DataFrame operations only.
 
-Every window of t consecutive words selects the least hash among its k-word grams (equal hashes are one), so a
-span of t words or more that a document shares with an item selects the same fingerprint on both sides: t = w + k - 1
-for w grams a window.  t is the contract's 13, or the length of the shortest item if that is less.  Windows
-whose fingerprint occurs in the benchmark are then extended to the item's window (13 words, or the whole shorter item)
-and compared word for word.
+Every window of 13 consecutive words selects the least hash among its k-word grams (equal hashes are one), so a span of
+13 words or more that a document shares with an item selects the same fingerprint on both sides.  Items of fewer words
+are looked up apart: for each such length, of which there are 12 at most, the hash of every span of that length.
+Windows whose fingerprint occurs in the benchmark are then extended to the item's window (13 words, or the whole
+shorter item) and compared word for word.
 
 Rows: one per row of documents.  Rows that share a doc_id are told apart by their text; equal rows get equal results.
 Null or empty text: no words, not contaminated.  Items without words are passed over; items that share an id count
@@ -57,22 +57,29 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def benchmark_windows(benchmark: DataFrame, window: int, k: int) -> tuple[DataFrame, int, int]:
-    """(item, size, window text, fingerprint) of every item window, with the t and k that hold for all of them."""
+def benchmark_windows(benchmark: DataFrame, window: int, k: int) -> tuple[DataFrame, list[int]]:
+    """(item, size, window text, fingerprint) of every item window, and the sizes of the items that are shorter."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), lowered(cased_words(F.col("text"))).alias("w")).where(F.size("w") > 0)
     items = written(items, "items")
-    t = items.agg(F.least(F.min(F.size("w")), F.lit(window))).first()[0] or window
-    k = min(k, max(1, t - 3))
-    sized = items.withColumn("size", F.least(F.size("w"), F.lit(window)))
-    spans = sized.select("item", "size", "w", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("size"))).alias("i"))
-    spans = spans.select("item", "size", F.slice("w", F.col("i") + 1, F.col("size")).alias("w"))
-    spans = spans.select("item", "size", F.concat_ws(" ", "w").alias("span"), minima(F.slice("w", 1, t), t, k)[0].alias("fp"))
-    return written(spans, "item-windows"), t, k
+    sizes = sorted(r[0] for r in items.where(F.size("w") < window).select(F.size("w")).distinct().collect())  # fewer than window
+    spans = items.where(F.size("w") >= window).select("item", F.lit(window).alias("size"), "w", F.explode(F.sequence(F.lit(0), F.size("w") - window)).alias("i"))
+    spans = spans.select("item", "size", F.slice("w", F.col("i") + 1, window).alias("w"))
+    spans = spans.select("item", "size", F.concat_ws(" ", "w").alias("span"), minima(F.col("w"), window, k)[0].alias("fp"))
+    for size in sizes:
+        some = items.where(F.size("w") == size)
+        spans = spans.unionByName(some.select("item", F.lit(size).alias("size"), F.concat_ws(" ", "w").alias("span"), whole_spans(F.col("w"), size)[0].alias("fp")))
+    return written(spans, "item-windows"), sizes
+
+
+def whole_spans(w: Column, size: int) -> Column:
+    """The fingerprint of each span of that many words."""
+    hashes = F.transform(w, lambda x: F.xxhash64(F.lower(x)))
+    return F.transform(let(hashes, lambda h: windowed(h, size, hash_pair)), lambda x: F.xxhash64(x, F.lit(size)))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: int = 10, percent: int = 5) -> DataFrame:
     """Per row: doc_id, n_words, the covered word positions' spans, the items found and the verdict."""
-    spans, t, k = benchmark_windows(benchmark, window, k)
+    spans, short = benchmark_windows(benchmark, window, k)
     key = [F.col("doc_id"), F.xxhash64("text").alias("text_key")]
     # 1. join the fingerprints: of each window where the benchmark's are few enough to be broadcast, else of each run
     known = spans.groupBy("fp").agg(F.collect_set("size").alias("sizes"))
@@ -80,19 +87,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: in
     few = known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     stay = F.array(F.struct(F.lit(STAY).alias("fp"), F.lit(-1).alias("first"), F.lit(-1).alias("past")))
     n_words = lambda w: F.size(w).cast("long").alias("n_words")
-    if few:
-        cut = docs.select(*key, let(cased_words(F.col("text")), lambda w: F.struct(n_words(w), F.array_append(minima(w, t, k), F.lit(STAY)).alias("m"))).alias("x"))
+    if few and not short:
+        cut = docs.select(*key, let(cased_words(F.col("text")), lambda w: F.struct(n_words(w), F.array_append(minima(w, window, k), F.lit(STAY)).alias("m"))).alias("x"))
         prints = cut.select("doc_id", "text_key", "x.n_words", F.posexplode("x.m").alias("first", "fp")).withColumn("past", F.col("first") + 1)
     else:
-        cut = docs.select(*key, let(cased_words(F.col("text")), lambda w: F.struct(n_words(w), F.concat(let(minima(w, t, k), runs), stay).alias("m"))).alias("x"))
+        alone = lambda a: F.transform(a, lambda x, i: F.struct(x.alias("fp"), i.alias("first"), (i + 1).alias("past")))
+        every = lambda w: F.concat(let(minima(w, window, k), runs), *[alone(whole_spans(w, size)) for size in short], stay)
+        cut = docs.select(*key, let(cased_words(F.col("text")), lambda w: F.struct(n_words(w), every(w).alias("m"))).alias("x"))
         prints = cut.select("doc_id", "text_key", "x.n_words", F.inline("x.m"))
     joined = prints.join(F.broadcast(known) if few else known, "fp").select("doc_id", "text_key", "n_words", "first", "past", "sizes")
     joined = written(joined, "fingerprint-hits")
     rows = joined.where(F.size("sizes") == 0).select("doc_id", "text_key", "n_words")
     found = joined.where(F.size("sizes") > 0).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("first", "past", "sizes")).alias("runs"))
-    found = found.select(F.col("doc_id").alias("f_id"), F.col("text_key").alias("f_key"), "runs")
-    # 2. extend the hits in the documents that have some, word for word
-    hit = docs.select(*key, "text").join(found, F.expr("doc_id <=> f_id AND text_key = f_key")).dropDuplicates(["doc_id", "text_key"])
+    found = written(found.select(F.col("doc_id").alias("f_id"), F.col("text_key").alias("f_key"), "runs"), "fingerprint-documents")
+    # 2. extend the hits in the documents that have some, word for word; where those are few, no text is shuffled to find them
+    same = F.expr("doc_id <=> f_id AND text_key = f_key")
+    hit = docs.select(*key, "text").join(small(found.select("f_id", "f_key")), same, "left_semi").dropDuplicates(["doc_id", "text_key"]).join(found, same)
     at = lambda w: F.flatten(F.transform("runs", lambda r: F.flatten(F.transform(r["sizes"], lambda z: F.transform(F.sequence(r["first"], r["past"] - 1), lambda i: F.struct(i.alias("i"), z.alias("size"), F.concat_ws(" ", F.slice(w, i + 1, z)).alias("span")))))))
     spread = hit.select("doc_id", "text_key", F.explode(let(lowered(cased_words(F.col("text"))), at)).alias("s")).select("doc_id", "text_key", "s.*")
     hits = spread.join(small(spans.select("size", "span", "item").distinct()), ["size", "span"])

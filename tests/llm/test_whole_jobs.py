@@ -202,3 +202,48 @@ def test_classifiers_by_held_out_labels(spark, tmp_path):
         got = {r.doc_id: r for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect()}
         held = [i for i in got if zlib.crc32(str(i).encode()) % 4 == 2]
         assert sum(got[i][column] == (1 - y[i] if flip else y[i]) for i in held) >= 0.95 * len(held), name
+
+
+def test_packing_ids_are_the_tokenizers(spark):
+    """The ids of whole documents, in all languages of the test table, are those of the tokenizer file."""
+    import os
+
+    import pyarrow.parquet as pq
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data")
+    texts = pq.read_table(path, columns=["text"]).column("text").combine_chunks()
+    exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for text, ids in zip(texts.to_pylist(), op6.Encoder(*op6.public_encoder())(texts), strict=True):
+        assert ids.tolist() == exact.encode(text or "", add_special_tokens=False).ids
+
+
+def test_short_items_beside_long_ones(spark):
+    """Items of one to twelve words are whole windows; longer ones are found by any 13 of their words."""
+    from basalt.llm import op02_decontamination as op2
+
+    rng = random.Random(9)
+    words = [f"v{i}" for i in range(60)]
+    long = rng.choices(words, k=30)
+    items = [(f"s{n}", " ".join(rng.choices(words, k=n))) for n in (1, 2, 5, 12, 13)] + [("long", " ".join(long)), ("none", " - "), (None, None)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 40))) for _ in range(40)] + [items[i][1].upper() + " q " + " ".join(long[3:16]) for i in range(5)] + [" ".join(long[:12]), None]
+    split = lambda t: (t or "").lower().replace("-", " ").split()
+    windows = {}
+    for name, t in items:
+        w = split(t)
+        size = min(13, len(w))
+        for i in range(len(w) - size + 1 if w else 0):
+            windows.setdefault(tuple(w[i : i + size]), set()).add(name or "")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.positions, r["items"]) for r in op2.decontaminate(docs, spark.createDataFrame(items, "item_id string, text string")).collect()}
+    for i, t in enumerate(texts):
+        w, at, names = split(t), set(), set()
+        for x, found in windows.items():
+            for j in range(len(w) - len(x) + 1):
+                if tuple(w[j : j + len(x)]) == x:
+                    at |= set(range(j, j + len(x)))
+                    names |= found
+        assert got[i] == (len(w), sorted(at), sorted(names)), i
