@@ -58,23 +58,33 @@ def keeps_compressed(plain: Column, packed: Column) -> Column:
     return (packed > 0) & (packed < plain) & (plain - packed > F.floor(plain / 20))
 
 
-def seal(block: Column, key: Column) -> Column:
-    """AES-256-GCM under the block's own key; the nonce is the plain length, as a key never meets two texts.
+def seal(block: Column, key: Column, codec: Column | None = None) -> Column:
+    """AES-256-GCM under the block's own key; the nonce is the codec's number and the length before sealing.
 
+    A key belongs to one plain text, and a codec gives one packed form of it, so key and nonce never meet two texts.
     The stored form is longer by a nonce of 12 and a tag of 16 bytes, which detects damage.
     """
-    nonce = F.unhex(F.lpad(F.hex(F.octet_length(block)), 24, "0"))
+    wide = lambda n, digits: F.lpad(F.hex(n.cast("long")), digits, "0")
+    nonce = F.unhex(F.concat(wide(F.lit(0) if codec is None else codec, 8), wide(F.octet_length(block), 16)))
     return F.aes_encrypt(block, F.unhex(key), F.lit("GCM"), F.lit("DEFAULT"), nonce)
 
 
-def unseal(stored: Column, key: Column) -> Column:
-    return F.aes_decrypt(stored, F.unhex(key), F.lit("GCM"))
+def seal_ref(ref: Column, mtime: Column, salt: bytes) -> Column:
+    """A reference in a table of modification times: sealed under the salt's hash, the nonce from the entry's key."""
+    return F.aes_encrypt(F.unhex(ref), F.unhex(F.sha2(F.lit(salt), 256)), F.lit("GCM"), F.lit("DEFAULT"), F.unhex(F.substring(mtime, 1, 24)))
+
+
+def unseal_ref(sealed: Column, salt: bytes) -> Column:
+    return F.lower(F.hex(F.aes_decrypt(sealed, F.unhex(F.sha2(F.lit(salt), 256)), F.lit("GCM"))))
 
 
-def _codec(name: str, level: int | None):
-    import pyarrow as pa
+def ref(indirection: Column, payload: Column) -> Column:
+    """A reference in hex: length and indirection bytes, then the inlined content or the keys (hex)."""
+    return F.lower(F.concat(F.lpad(F.hex((F.length(payload) / 2).cast("long")), 2, "0"), F.lpad(F.hex(indirection.cast("long")), 2, "0"), payload))
 
-    return pa.Codec(name, compression_level=level)
+
+def unseal(stored: Column, key: Column) -> Column:
+    return F.aes_decrypt(stored, F.unhex(key), F.lit("GCM"))
 
 
 #: Codec names of the command line -> (Arrow codec, level, identifier on disk).  lz4hc decodes as lz4.
@@ -84,12 +94,12 @@ CODECS = {"lz4": ("lz4_raw", None, 0), "lz4hc": ("lz4_raw", 9, 0), "zstd": ("zst
 def compressed(block: Column, codec: str = "zstd") -> Column:
     name, level, _ = CODECS[codec]
 
-    @F.pandas_udf("binary")
+    @F.arrow_udf("binary")
     def pack(column):
         import pyarrow as pa
 
         coder = pa.Codec(name, compression_level=level)
-        return column.map(lambda x: None if x is None else coder.compress(x, asbytes=True))
+        return pa.array([coder.compress(x.as_buffer(), asbytes=True) if x.is_valid else None for x in column], pa.binary())
 
     return pack(block)
 
@@ -97,12 +107,11 @@ def compressed(block: Column, codec: str = "zstd") -> Column:
 def decompressed(block: Column, size: Column, codec: str = "zstd") -> Column:
     name, _, _ = CODECS[codec]
 
-    @F.pandas_udf("binary")
+    @F.arrow_udf("binary")
     def unpack(column, sizes):
-        import pandas as pd
         import pyarrow as pa
 
         coder = pa.Codec(name)
-        return pd.Series([None if x is None else coder.decompress(x, int(n), asbytes=True) for x, n in zip(column, sizes, strict=True)])
+        return pa.array([coder.decompress(x.as_buffer(), n, asbytes=True) if x.is_valid else None for x, n in zip(column, sizes.to_pylist(), strict=True)], pa.binary())
 
     return unpack(block, size)

@@ -9,13 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import INLINE_BYTES, KEY_BYTES, MAX_INDIRECTION, REF_KEYS, encryption_key, storage_key
+from ..plans.stored import written
 
 
-def chunked(files: DataFrame, size: int) -> DataFrame:
+def chunked(files: DataFrame, size: int, inline: int = INLINE_BYTES) -> DataFrame:
     """(archive, id, block_no, block) of contents too long to be inlined; the last block of a file may be short."""
     n = F.octet_length("content")
     last = F.ceil(n / size).cast("int") - 1
-    rows = files.where(n > INLINE_BYTES).select("archive", "id", "content", F.explode(F.sequence(F.lit(0), last)).alias("block_no"))
+    rows = files.where(n > inline).select("archive", "id", "content", F.explode(F.sequence(F.lit(0), last)).alias("block_no"))
     return rows.select("archive", "id", F.col("block_no").cast("long").alias("block_no"), F.expr(f"substring(content, block_no * {size} + 1, {size})").alias("block"))
 
 
@@ -43,58 +44,81 @@ def levels(size: Column, block: int) -> Column:
 def key_blocks(data: DataFrame, size: int, salt: bytes, contents: bool = False) -> tuple[DataFrame, DataFrame]:
     """(all blocks by level, references) of keyed data blocks (archive, id, block_no, enc_key, ...).
 
-    At most four rounds: each joins the keys of a full block's worth of neighbours, in order, into the next level's
-    block.  Files whose keys fit into the reference drop out.  A file that needs more levels raises an error.
+    Each round joins the keys of a full block's worth of neighbours, in order, into the next level's block, which is
+    written: so each level is computed once, from the one below.  Rounds end when all files' keys fit into their
+    references, after four at most; a file that needs more raises an error.
     contents: blocks have their bytes too, as column block, null for data blocks.
     """
     per = size // KEY_BYTES
     columns = ["archive", "id", "level", "block_no", "enc_key", "storage_key", "block_size", *(["block"] if contents else [])]
+    counts = data.groupBy("archive", "id").agg(F.count(F.lit(1)).alias("n"))
     level = data.withColumn("level", F.lit(1))
     if contents:
         level = level.withColumn("block", F.lit(None).cast("binary"))
+    level = written(level.select(*columns).join(counts, ["archive", "id"]), "keys")
     found, refs = [], []
+    keys = F.transform(F.sort_array(F.collect_list(F.struct("block_no", "enc_key"))), lambda x: x["enc_key"]).alias("keys")
     for k in range(1, MAX_INDIRECTION + 1):
         found.append(level.select(*columns))
-        counts = level.groupBy("archive", "id").agg(F.count(F.lit(1)).alias("n"))
-        done = level.join(counts.where(F.col("n") <= REF_KEYS), ["archive", "id"])
-        refs.append(done.groupBy("archive", "id").agg(F.lit(k).alias("indirection"), F.sort_array(F.collect_list(F.struct("block_no", "enc_key"))).getField("enc_key").alias("keys")))
-        more = level.join(counts.where(F.col("n") > REF_KEYS).select("archive", "id"), ["archive", "id"])
-        if k == MAX_INDIRECTION:
-            too_long = more.select(F.raise_error(F.lit("a content needs more than four levels")).cast("string").alias("archive"), "id").select("archive", "id", F.lit(0).alias("indirection"), F.array().cast("array<string>").alias("keys"))
-            refs.append(too_long)
+        refs.append(level.where(F.col("n") <= REF_KEYS).groupBy("archive", "id").agg(F.lit(k).alias("indirection"), keys))
+        more = level.where(F.col("n") > REF_KEYS)
+        if more.isEmpty():
             break
-        joined = more.groupBy("archive", "id", F.floor(F.col("block_no") / per).alias("block_no")).agg(F.sort_array(F.collect_list(F.struct("block_no", "enc_key"))).getField("enc_key").alias("keys"))
-        level = keyed(joined.withColumn("block", F.unhex(F.array_join("keys", ""))), salt).withColumn("level", F.lit(k + 1))
+        if k == MAX_INDIRECTION:
+            raise ValueError("a content needs more than four levels")
+        joined = more.groupBy("archive", "id", F.floor(F.col("block_no") / per).alias("block_no")).agg(keys, F.ceil(F.first("n") / per).alias("n"))
+        above = keyed(joined.withColumn("block", F.unhex(F.array_join("keys", ""))), salt).withColumn("level", F.lit(k + 1))
+        level = written(above.select(*columns, "n"), "keys")
     union = lambda parts: reduce(DataFrame.unionByName, parts)
     return union(found), union(refs)
 
 
-def expand(refs: DataFrame, stored: DataFrame, decode: Callable[[Column, Column], Column] = lambda content, key: content) -> DataFrame:
+def expand(refs: DataFrame, stored: DataFrame, size: int, decode: Callable[[Column, Column], Column] = lambda content, key: content, first: int = 0, last: int | None = None) -> DataFrame:
     """(archive, id, block_no, block) of references (archive, id, indirection, keys) over stored (storage_key, content).
 
-    One join a level; a key that is not stored raises an error.  decode: the plain block of content and key.
+    One join a level, each written, until no key blocks are left; a key that is not stored raises an error.  decode: the
+    plain block of content and key.  first, last: only the data blocks with these numbers, and the key blocks that lead
+    to them, are fetched.
     """
+    per = size // KEY_BYTES
+    with_key = lambda df: df.withColumn("storage_key", storage_key(F.col("enc_key")))
+    width = F.element_at(F.array(*[F.lit(per**i) for i in range(MAX_INDIRECTION)]), F.col("indirection").cast("int"))  # data blocks below a key
+    inside = (F.col("block_no") + 1) * width > first
+    if last is not None:
+        inside &= F.col("block_no") * width <= last
+
+    def fetch(df: DataFrame) -> DataFrame:
+        there = with_key(df).join(stored.select("storage_key", "content"), "storage_key", "left")
+        content = F.when(F.col("content").isNull(), F.raise_error(F.concat(F.lit("block is missing: "), "storage_key"))).otherwise(F.col("content"))
+        return there.withColumn("content", content).withColumn("content", decode(F.col("content"), F.col("enc_key")))
+
     frontier = refs.where("indirection > 0").select("archive", "id", "indirection", F.posexplode("keys").alias("block_no", "enc_key"))
-    out = None
-    for _ in range(MAX_INDIRECTION):
-        with_key = frontier.withColumn("storage_key", storage_key(F.col("enc_key")))
-        fetched = with_key.join(stored.select("storage_key", "content"), "storage_key", "left").withColumn("content", F.when(F.col("content").isNull(), F.raise_error(F.concat(F.lit("block is missing: "), "storage_key"))).otherwise(F.col("content")))
-        fetched = fetched.withColumn("content", decode(F.col("content"), F.col("enc_key")))
-        leaves = fetched.where("indirection = 1").select("archive", "id", "block_no", F.col("content").alias("block"))
-        out = leaves if out is None else out.unionByName(leaves)
-        parents = fetched.where("indirection > 1")
+    frontier = written(frontier.withColumn("block_no", F.col("block_no").cast("long")).where(inside), "frontier")
+    leaves = [frontier.where("indirection = 1")]
+    for _ in range(MAX_INDIRECTION - 1):
+        parents = frontier.where("indirection > 1")
+        if parents.isEmpty():
+            break
         keys = F.expr(f"transform(sequence(0, octet_length(content) div {KEY_BYTES} - 1), i -> lower(hex(substring(content, i * {KEY_BYTES} + 1, {KEY_BYTES}))))")
-        opened = parents.select("archive", "id", F.col("indirection") - 1, F.col("block_no").alias("parent"), F.size(keys).alias("n"), F.posexplode(keys).alias("i", "enc_key")).withColumnRenamed("(indirection - 1)", "indirection")
-        width = F.max(F.col("n"))
-        opened = opened.join(opened.groupBy("archive", "id").agg(width.alias("width")), ["archive", "id"])  # every key block but the last is full
-        frontier = opened.select("archive", "id", "indirection", (F.col("parent") * F.col("width") + F.col("i")).alias("block_no"), "enc_key")
-    return out
+        opened = fetch(parents).select("archive", "id", (F.col("indirection") - 1).alias("indirection"), F.col("block_no").alias("parent"), F.posexplode(keys).alias("i", "enc_key"))
+        opened = opened.select("archive", "id", "indirection", (F.col("parent") * per + F.col("i")).alias("block_no"), "enc_key")  # every key block but the last is full
+        frontier = written(opened.where(inside), "frontier")
+        leaves.append(frontier.where("indirection = 1"))
+    return fetch(reduce(DataFrame.unionByName, leaves)).select("archive", "id", "block_no", F.col("content").alias("block"))
+
+
+def joined(blocks: DataFrame, *by: str) -> DataFrame:
+    """(by, bytes): the blocks (block_no, block) of each content, put together in order."""
+    pieces = F.sort_array(F.collect_list(F.struct("block_no", F.hex("block").alias("h"))))
+    return blocks.groupBy(*by).agg(F.unhex(F.array_join(F.transform(pieces, lambda x: x["h"]), "")).alias("bytes"))
 
 
-def read_range(blocks: DataFrame, size: int, offset: int, length: int) -> DataFrame:
-    """(archive, id, bytes): the range of each content, from the blocks it touches alone; empty past the end."""
+def read_range(files: DataFrame, size: int, offset: int, length: int) -> DataFrame:
+    """(archive, id, bytes): the range of each content, from the blocks it touches alone; empty past the end.
+
+    Only those blocks are cut out of a content, and they stay in its row, so nothing is shuffled.
+    """
     first, last = offset // size, (offset + max(length, 1) - 1) // size
-    touched = blocks.where(F.col("block_no").between(first, last))
-    joined = touched.groupBy("archive", "id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block_no", F.hex("block").alias("h")))), lambda x: x["h"]), "").alias("h"))
-    skip = offset - first * size
-    return joined.select("archive", "id", F.unhex(F.substring("h", 2 * skip + 1, 2 * length)).alias("bytes"))
+    block = lambda i: F.expr(f"substring(content, {i * size + 1}, {size})")
+    touched = F.concat(*[block(i) for i in range(first, last + 1)]) if last - first < 64 else F.expr(f"substring(content, {first * size + 1}, {(last - first + 1) * size})")
+    return files.select("archive", "id", touched.alias("t")).select("archive", "id", F.expr(f"substring(t, {offset - first * size + 1}, {length})").alias("bytes"))

@@ -50,16 +50,25 @@ def missing(references: DataFrame, loaded: DataFrame) -> DataFrame:
 def running_offsets(blocks: DataFrame, level: list[Column], order: list[str], size: str) -> DataFrame:
     """blocks with offset, the sum of the sizes before them.
 
-    level: a coarse key whose order agrees with order.  Sums run in each level's partition; only the levels' totals
-    pass through one task.
+    level: coarser and coarser keys, each in the order of the finer one (and of order).  Sums run in each key's
+    partition: of the blocks in the finest, of each key's totals in the next coarser; only the coarsest's totals pass
+    through one task.
     """
     names = [f"level_{i}" for i in range(len(level))]
     rows = blocks.withColumns(dict(zip(names, level, strict=True)))
     totals = rows.groupBy(*names).agg(F.sum(size).alias("total"))
-    before = totals.select(*[F.col(n).alias(f"t_{n}") for n in names], (F.sum("total").over(Window.orderBy(*names)) - F.col("total")).alias("before"))
+    before = F.lit(0).cast("long")
+    for i, name in enumerate(names):  # what comes before a key within the next coarser one
+        above = names[i + 1 :]
+        sums = totals.groupBy(name, *above).agg(F.sum("total").alias("t"))
+        window = Window.partitionBy(*above).orderBy(name) if above else Window.orderBy(name)
+        sums = sums.withColumn("b", F.sum("t").over(window) - F.col("t")).select(*[F.col(n).alias(f"t_{n}") for n in names[i:]], F.col("b").alias(f"b_{i}"))
+        totals = totals.join(sums, [F.col(n).eqNullSafe(F.col(f"t_{n}")) for n in names[i:]]).drop(*[f"t_{n}" for n in names[i:]])
+        before = before + F.col(f"b_{i}")
+    totals = totals.select(*[F.col(n).alias(f"t_{n}") for n in names], before.alias("before"))
     own = F.sum(size).over(Window.partitionBy(*names).orderBy(*order)) - F.col(size)
     on = [F.col(n).eqNullSafe(F.col(f"t_{n}")) for n in names]
-    return rows.withColumn("own", own).join(before, on).withColumn("offset", F.col("own") + F.col("before")).select(*blocks.columns, "offset")
+    return rows.withColumn("own", own).join(totals, on).withColumn("offset", F.col("own") + F.col("before")).select(*blocks.columns, "offset")
 
 
 def counters(blocks: DataFrame, base: DataFrame) -> DataFrame:
@@ -72,10 +81,15 @@ def counters(blocks: DataFrame, base: DataFrame) -> DataFrame:
     return out.withColumn("external_blocks", F.col("dedup_blocks") - F.col("internal_blocks")).withColumn("external_bytes", F.col("dedup_bytes") - F.col("internal_bytes"))
 
 
-def fingerprint(index: DataFrame) -> DataFrame:
+def fingerprint(index: DataFrame, digits: int = 2) -> DataFrame:
     """(archive, fingerprint): a hash over an index's keys in order.
 
-    Keys are first hashed by their leading two digits, so that a task holds 1/256 of an index.
+    Keys are hashed by their leading digits, then those hashes by fewer, two less a level, so that a row holds 256
+    hashes at most but for the first level, where it holds 1/16**digits of an index: four digits for each 100 million keys.
     """
-    parts = index.groupBy("archive", F.substring("storage_key", 1, 2).alias("lead")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("storage_key")), "").cast("binary"), 256).alias("h"))
-    return parts.groupBy("archive").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("lead", "h"))), lambda x: x["h"]), "").cast("binary"), 256).alias("fingerprint"))
+    join = lambda x: F.sha2(F.array_join(x, "").cast("binary"), 256)
+    parts = index.groupBy("archive", F.substring("storage_key", 1, digits).alias("lead")).agg(join(F.sort_array(F.collect_list("storage_key"))).alias("h"))
+    for left in range(digits - 2, -1, -2):
+        ordered = F.transform(F.sort_array(F.collect_list(F.struct("lead", "h"))), lambda x: x["h"])
+        parts = parts.groupBy("archive", F.substring("lead", 1, left).alias("lead2")).agg(join(ordered).alias("h")).withColumnRenamed("lead2", "lead")
+    return parts.select("archive", F.col("h").alias("fingerprint"))

@@ -6,6 +6,8 @@ the salt b"salt"; region, nation, customer and orders form a directory tree; pag
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from .functions import rules as R
 from .operators import blocks as B
 from .operators import index as I
 from .operators import tree as T
+from .plans import archive as A
+from .plans.stored import shared_dir
 
 SIZE, SALT = 4096, b"salt"
 RULES = [("-I", "**/en/**"), ("-E", "**/*[13579]"), ("-I", "*/fr"), ("-E", "*/de/**")]
@@ -105,14 +109,17 @@ def missing_archives(spark, d):
 
 def block_offsets(spark, d):
     b = blocks(spark, d).select("id", "block_no", "block_size")
-    return I.running_offsets(b, [F.floor(F.col("id") / 1024)], ["id", "block_no"], "block_size")
+    return I.running_offsets(b, [F.floor(F.col("id") / 1024), F.floor(F.col("id") / (1 << 20))], ["id", "block_no"], "block_size")
 
 
 def inline_vs_indirect(spark, d):
-    t = table(spark, d, "conversations").select(F.octet_length(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("n"))
-    kind = F.when(F.col("n") <= K.INLINE_BYTES, "inline").otherwise("blocks")
-    ref = F.when(F.col("n") <= K.INLINE_BYTES, F.col("n") + 2).otherwise(2 + K.KEY_BYTES * F.least(F.ceil(F.col("n") / SIZE), F.lit(5)))
-    return t.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n_files"), F.sum(F.col("n").cast("long")).alias("bytes"), F.sum(ref.cast("long")).alias("ref_bytes"))
+    """Bytes of the references of contents of all sizes: those of conversations, and of up to gigabytes."""
+    talk = table(spark, d, "conversations").select(F.octet_length(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).cast("long").alias("n"))
+    t = talk.unionByName(table(spark, d, "orders").select((F.floor("o_totalprice").cast("long") * F.element_at(F.array(*[F.lit(x).cast("long") for x in (0, 1, 16, 4096, 65536)]), (F.col("o_orderkey") % 5 + 1).cast("int"))).alias("n")))
+    level = B.levels(F.col("n"), SIZE)
+    keys = F.ceil(F.ceil(F.col("n") / SIZE) / F.element_at(F.array(*[F.lit((SIZE // K.KEY_BYTES) ** i) for i in range(4)]), level))
+    ref = F.when(level == 0, F.col("n") + 2).otherwise(2 + K.KEY_BYTES * keys)
+    return t.groupBy(level.alias("indirection")).agg(F.count(F.lit(1)).alias("n_files"), F.sum("n").alias("bytes"), F.sum(ref.cast("long")).alias("ref_bytes"))
 
 
 def indirection_levels(spark, d):
@@ -134,9 +141,8 @@ def merkle_read(spark, d):
     every, refs = B.key_blocks(data.drop("block"), SIZE, SALT, contents=True)
     stored = data.select("storage_key", F.col("block").alias("content")).union(every.where("level > 1").select("storage_key", "block"))
     stored = stored.groupBy("storage_key").agg(F.first("content").alias("content"))
-    got = B.expand(refs, stored)
-    whole = got.groupBy("archive", "id").agg(F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block_no", F.hex("block").alias("h")))), lambda x: x["h"]), "")).alias("b"))
-    whole = whole.select("id", "b").union(f.where(F.octet_length("content") <= K.INLINE_BYTES).select("id", F.col("content").alias("b")))
+    whole = B.joined(B.expand(refs, stored, SIZE), "archive", "id").select("id", F.col("bytes").alias("b"))
+    whole = whole.union(f.where(F.octet_length("content") <= K.INLINE_BYTES).select("id", F.col("content").alias("b")))
     return whole.select("id", F.octet_length("b").cast("long").alias("n"), F.sha2("b", 256).alias("content_sha256"))
 
 
@@ -168,7 +174,7 @@ def filter_hits(spark, d):
 
 
 def range_read(spark, d):
-    got = B.read_range(B.chunked(files(spark, d), SIZE), SIZE, 4000, 500)
+    got = B.read_range(files(spark, d), SIZE, 4000, 500)
     return got.select("id", F.octet_length("bytes").cast("long").alias("n"), F.lower(F.hex("bytes")).alias("bytes_hex"))
 
 
@@ -251,11 +257,49 @@ def gate_rule(spark, d):
     return t.select("plain", "packed", K.keeps_compressed(F.col("plain"), F.col("packed")).alias("kept"))
 
 
+def archive(spark, d, midx: bool = False):
+    """The documents as files source/lang/doc_id of an archive that is written, and opened by its root's reference."""
+    f = files(spark, d).select(F.concat_ws("/", "source", "lang", F.col("id").cast("string")).alias("path"), "content", F.octet_length("content").cast("long").alias("size"), F.col("id").alias("mtime"))
+    path = f"{shared_dir(spark)}/documents-{uuid.uuid4().hex}"
+
+    def read(need):
+        cut = B.chunked(f.join(need.where("type = 'file'").select("path"), "path").select(F.lit("").alias("archive"), F.col("path").alias("id"), "content"), SIZE, 0)
+        return cut.select(F.col("id").alias("path"), "block_no", "block")
+
+    done = A.store(spark, A.with_directories(f), read, path, SALT, blksize=SIZE, create_midx=midx)
+    return A.Archives(spark, [path], done.root)
+
+
+def archive_walk(spark, d):
+    """Directories and files found from the root's reference on."""
+    return archive(spark, d).walk().select("path", "type", "size", "mtime")
+
+
+def archive_read(spark, d):
+    """All files' bytes, through directories, key blocks, decryption and decompression."""
+    a = archive(spark, d)
+    got = B.joined(a.contents(a.walk().where("type = 'file'").select("path", "ref")), "path")
+    return got.select("path", F.octet_length("bytes").cast("long").alias("n"), F.sha2("bytes", 256).alias("content_sha256"))
+
+
+def archive_blocks(spark, d):
+    """The second and third block of each file that has them; no other data block is fetched."""
+    a = archive(spark, d)
+    got = a.contents(a.walk().where("type = 'file'").select("path", "ref"), 1, 2).where("block_no > 0")
+    return got.select("path", "block_no", F.sha2("block", 256).alias("block_sha256"))
+
+
+def archive_midx(spark, d):
+    """The table of modification times: keys, and the references sealed in it."""
+    a = archive(spark, d, midx=True)
+    return a.midx(SIZE).select("key", K.unseal_ref(F.col("sealed"), SALT).alias("ref"))
+
+
 QUERIES = {f.__name__: f for f in (
     chunk_blocks, block_keys, dedup_stats, first_occurrence, differential_blocks, used_entries, referenced_archives, archive_info, multi_index_lookup, missing_archives,
     block_offsets, inline_vs_indirect, indirection_levels, merkle_refs, merkle_read, tree_paths, dir_lookup, readdir_page, dir_numbers, path_filter, filter_hits, range_read,
     mtime_fast_path, mtime_keys, owner_enrich, file_allocated, fs_totals, merged_index, index_fingerprint, hex_roundtrip, ref_validity, blksize_validity, crypt_roundtrip,
-    compress_roundtrip, compress_gate, gate_rule,
+    compress_roundtrip, compress_gate, gate_rule, archive_walk, archive_read, archive_blocks, archive_midx,
 )}
 
 # ---- DuckDB ---------------------------------------------------------------------------------------------------
@@ -276,6 +320,10 @@ g AS (SELECT *, octet_length(encode(t)) AS n FROM f), c AS (SELECT archive, id,
 l AS (SELECT archive, id, 1 AS level, list(sha256(unhex('{_SALT}' || hex(block))) ORDER BY k) AS keys FROM c GROUP BY archive, id
 UNION ALL SELECT archive, id, level + 1, list_transform(range(0, (len(keys) + 127) // 128), lambda j: sha256(unhex('{_SALT}' || array_to_string(keys[(j * 128 + 1):(j * 128 + 128)], '')))) FROM l WHERE len(keys) > 5)
 SELECT archive, id, level AS indirection, array_to_string(keys, '') AS keys FROM l WHERE len(keys) <= 5"""
+_PATHS = f"{_F}, a AS (SELECT id, source || '/' || lang || '/' || id AS path, content FROM f)"
+_REFS = f"""WITH RECURSIVE {_F}, {_C}, l AS (SELECT id, 1 AS level, list(sha256(unhex('{_SALT}' || hex(block))) ORDER BY block_no) AS keys FROM c GROUP BY id
+UNION ALL SELECT id, level + 1, list_transform(range(0, (len(keys) + 127) // 128), lambda j: sha256(unhex('{_SALT}' || array_to_string(keys[(j * 128 + 1):(j * 128 + 128)], '')))) FROM l WHERE len(keys) > 5),
+r AS (SELECT id, level, keys FROM l WHERE len(keys) <= 5)"""
 
 ORACLES = {
     "chunk_blocks": f"WITH {_F}, {_C} SELECT archive, id, block_no, octet_length(block)::BIGINT AS block_size, sha256(block) AS block_sha256 FROM c",
@@ -289,17 +337,17 @@ ORACLES = {
     "multi_index_lookup": f"{_BASE} SELECT k.storage_key, w.archive, w.block_size FROM (SELECT DISTINCT storage_key FROM n) k LEFT JOIN w USING (storage_key)",
     "missing_archives": "SELECT n_name AS archive, 'r' || n_regionkey AS referenced FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region WHERE r_regionkey < 3)",
     "block_offsets": f"{_ALL} SELECT id, block_no, block_size, (sum(block_size) OVER (ORDER BY id, block_no) - block_size)::BIGINT AS \"offset\" FROM b",
-    "inline_vs_indirect": f"SELECT CASE WHEN n <= 160 THEN 'inline' ELSE 'blocks' END AS kind, count(*) AS n_files, sum(n)::BIGINT AS bytes, sum(CASE WHEN n <= 160 THEN n + 2 ELSE 2 + 32 * least((n + {SIZE - 1}) // {SIZE}, 5) END)::BIGINT AS ref_bytes FROM (SELECT octet_length(encode(coalesce(text, ''))) AS n FROM conversations) GROUP BY 1",
+    "inline_vs_indirect": f"WITH RECURSIVE s AS (SELECT row_number() OVER () AS r, n FROM (SELECT octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM conversations UNION ALL SELECT floor(o_totalprice)::BIGINT * ([0, 1, 16, 4096, 65536])[o_orderkey % 5 + 1] FROM orders)), l AS (SELECT r, 1 AS k, (n + {SIZE - 1}) // {SIZE} AS c FROM s WHERE n > 160 UNION ALL SELECT r, k + 1, (32 * c + {SIZE - 1}) // {SIZE} FROM l WHERE 32 * c > 160), m AS (SELECT r, max(k) AS k, arg_max(c, k) AS c FROM l GROUP BY r) SELECT coalesce(k, 0) AS indirection, count(*) AS n_files, sum(n)::BIGINT AS bytes, sum(2 + CASE WHEN k IS NULL THEN n ELSE 32 * c END)::BIGINT AS ref_bytes FROM s LEFT JOIN m USING (r) GROUP BY 1",
     "indirection_levels": f"WITH RECURSIVE s AS (SELECT o_orderkey, (floor(o_totalprice)::BIGINT * floor(o_totalprice)::BIGINT) % 30000000000 AS size FROM orders), l AS (SELECT o_orderkey, 1 AS k, (size + {SIZE - 1}) // {SIZE} AS c FROM s WHERE size > 160 UNION ALL SELECT o_orderkey, k + 1, (32 * c + {SIZE - 1}) // {SIZE} FROM l WHERE 32 * c > 160) SELECT s.o_orderkey, s.size, coalesce(m.k, 0) AS indirection FROM s LEFT JOIN (SELECT o_orderkey, max(k) AS k FROM l GROUP BY 1) m USING (o_orderkey)",
     "merkle_refs": _MERKLE,
-    "merkle_read": f"WITH {_F} SELECT id, octet_length(content)::BIGINT AS n, sha256(content) AS content_sha256 FROM f WHERE octet_length(content) > 160 AND octet_length(content) <= {5 * SIZE}",
+    "merkle_read": f"WITH {_F} SELECT id, octet_length(content)::BIGINT AS n, sha256(content) AS content_sha256 FROM f",
     "tree_paths": f"WITH RECURSIVE {_E} SELECT * FROM p",
     "dir_lookup": f"WITH RECURSIVE {_E} SELECT e.*, p.path FROM e JOIN p USING (id) WHERE (parent_id = 'r0' AND name = 'ALGERIA') OR parent_id = 'n0'",
     "readdir_page": f"WITH RECURSIVE {_E}, s AS (SELECT parent_id, name, id, ((24 + octet_length(encode(name)) + 7) // 8 * 8)::BIGINT AS size, row_number() OVER (PARTITION BY parent_id ORDER BY name, id) AS r FROM e WHERE parent_id IS NOT NULL), g AS (SELECT parent_id, r, 0::BIGINT AS page, size AS used FROM s WHERE r = 1 UNION ALL SELECT s.parent_id, s.r, CASE WHEN g.used + s.size > 4096 THEN g.page + 1 ELSE g.page END, CASE WHEN g.used + s.size > 4096 THEN s.size ELSE g.used + s.size END FROM g JOIN s ON s.parent_id = g.parent_id AND s.r = g.r + 1) SELECT s.parent_id, s.name, s.id, s.size, g.page FROM s JOIN g ON s.parent_id = g.parent_id AND s.r = g.r",
     "dir_numbers": f"WITH RECURSIVE {_E} SELECT id, row_number() OVER (PARTITION BY parent_id ORDER BY name)::INTEGER AS number FROM e",
     "path_filter": f"WITH {_P} SELECT id, rule, coalesce(rule IN (0, 2), true) AS included FROM (SELECT id, {_WHICH} AS rule FROM p)",
     "filter_hits": f"WITH {_P}, x AS (SELECT {_WHICH} AS rule FROM p) SELECT k.rule, k.rule IN (0, 2) AS include, count(x.rule) AS n FROM (SELECT unnest([0, 1, 2, 3]) AS rule) k LEFT JOIN x ON x.rule = k.rule GROUP BY k.rule",
-    "range_read": f"WITH {_F} SELECT id, greatest(least(octet_length(content) - 4000, 500), 0)::BIGINT AS n, lower(substring(h, 8001, 1000)) AS bytes_hex FROM f WHERE octet_length(content) > 160",
+    "range_read": f"WITH {_F} SELECT id, greatest(least(octet_length(content) - 4000, 500), 0)::BIGINT AS n, lower(substring(h, 8001, 1000)) AS bytes_hex FROM f",
     "mtime_fast_path": "WITH o AS (SELECT o_orderkey, 'c' || o_custkey AS path, floor(o_totalprice)::BIGINT AS size, epoch(o_orderdate)::BIGINT AS mtime FROM orders), x AS (SELECT path, size, mtime, min(o_orderkey) AS ref FROM o WHERE o_orderkey % 2 = 0 GROUP BY ALL) SELECT count(*) AS n_files, count(ref) AS n_hits, sum(CASE WHEN ref IS NOT NULL THEN size END)::BIGINT AS hit_bytes FROM o LEFT JOIN x USING (path, size, mtime)",
     "mtime_keys": f"WITH {_F} SELECT id, sha256(unhex('{_SALT}' || lpad(hex(octet_length(content)), 16, '0') || lpad(hex(id), 16, '0') || hex(encode(source || '/' || lang || '/' || id)))) AS mtime_key FROM f",
     "owner_enrich": "SELECT o_orderkey AS id, o_custkey AS uid, coalesce(c_name, '') AS username FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) ON o_custkey = c_custkey",
@@ -312,5 +360,9 @@ ORACLES = {
     "blksize_validity": f"SELECT p_partkey, n, n >= 4096 AND n <= {K.MAX_BLOCK} AND n & (n - 1) = 0 AS valid FROM (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 1::BIGINT << (p_partkey % 34)::INTEGER ELSE p_partkey * 4096 END AS n FROM part)",
     "crypt_roundtrip": f"WITH {_F}, {_C} SELECT id, block_no, (octet_length(block) + 28)::BIGINT AS stored_size, sha256(block) AS block_sha256 FROM c",
     "compress_roundtrip": f"WITH {_F}, {_C} SELECT id, block_no, sha256(block) AS lz4_sha256, sha256(block) AS lz4hc_sha256, sha256(block) AS zstd_sha256 FROM c",
+    "archive_walk": f"WITH {_PATHS}, x AS (SELECT path, string_split(path, '/') AS p FROM a) SELECT path, 'file' AS type, octet_length(content)::BIGINT AS size, id AS mtime FROM a UNION ALL SELECT DISTINCT array_to_string(p[1:i], '/'), 'dir', 0::BIGINT, 0::BIGINT FROM (SELECT p, unnest(range(1, len(p))) AS i FROM x)",
+    "archive_read": f"WITH {_PATHS} SELECT path, octet_length(content)::BIGINT AS n, sha256(content) AS content_sha256 FROM a",
+    "archive_blocks": f"WITH {_F}, {_C} SELECT path, block_no, sha256(block) AS block_sha256 FROM (SELECT c.*, source || '/' || lang || '/' || id AS path FROM c JOIN f USING (archive, id)) WHERE block_no IN (1, 2)",
+    "archive_midx": f"{_REFS} SELECT sha256(unhex('{_SALT}' || lpad(hex(octet_length(content)), 16, '0') || lpad(hex(f.id), 16, '0') || hex(encode(source || '/' || lang || '/' || f.id)))) AS key, CASE WHEN r.id IS NULL THEN lower(lpad(hex(octet_length(content)), 2, '0') || '00' || h) ELSE lower(lpad(hex(32 * len(keys)), 2, '0') || lpad(hex(level), 2, '0') || array_to_string(keys, '')) END AS ref FROM f LEFT JOIN r ON f.id = r.id",
     "gate_rule": "SELECT DISTINCT l_partkey AS plain, l_suppkey AS packed, l_suppkey > 0 AND l_suppkey < l_partkey AND l_partkey - l_suppkey > l_partkey // 20 AS kept FROM lineitem",
 }
