@@ -6,16 +6,20 @@ doc_id.  Suffixes are word suffixes, and trees reach down to the window's depth,
 1. Documents are packed into batches, written once (see shared.packed).
 2. Candidates: each window picks the least hash of its ``gram``-word grams (equal windows pick equal ones).  A batch
    sends its distinct picks to buckets by hash; a bucket answers one bit a pick: does it occur in two documents?  Only
-   suffixes below such a pick can repeat, the rest is left out of the trees.
-3. Trees: a batch sends its distinct candidate stretches (a pick's windows, as words) with the least and greatest
-   doc_id holding them; equal windows meet in one bucket.  A bucket splits its suffixes by prefixes of variable
-   length - longer where a prefix is frequent - into groups of at most ``group`` suffixes, and builds each group's
-   tree top-down, a level a word, dropping suffixes as soon as they are alone.  The nodes left at the window's depth
-   are the repeats; each answers its least doc_id.
-4. Each batch marks its windows with a smaller doc_id than its own; overlapping ones join into maximal stretches.
-
-A bucket holds at most one row a batch for each sequence, however many documents share it, so a passage that a third
-of all documents hold costs no task more than another.  Words are compared as words, not as hashes, in the trees.
+   suffixes at such picks can repeat, the rest is left out of the trees.
+3. Prefixes: on about ``sample`` batches the candidate suffixes, which begin at picks, are counted by their first 1, 2
+   .. ``gram`` words.  A prefix that more than ``group`` suffixes of all batches are estimated to have is split by its
+   next word, so prefixes are of variable length and each holds a group that fits into memory, up to the gram itself.
+   The sample only balances the groups; results do not depend on it.
+4. Trees: a batch sends its distinct candidate stretches (a pick's windows, as words) with the least and greatest
+   doc_id holding them, dealt by the suffix's prefix: equal windows have equal picks and so one prefix.  A task sorts
+   its group's suffixes, in parts by further words where they are many, and the common prefixes of neighbours give the
+   inner nodes of each part's tree.  The deep nodes, at the window's depth, are the repeats, and each answers its
+   least doc_id.
+5. Each batch marks its windows with a smaller doc_id than its own; overlapping ones join into maximal stretches.
+
+A group holds at most one row a batch for each sequence, however many documents share it, so a passage that a third
+of all documents hold costs a task no more than one of a few.  Words are compared as words, not as hashes, in the trees.
 
 Rows: one per row of documents.  Null, empty or blank text: no words, nothing removed.  Texts shorter than the window
 lose nothing.  Rows that share a doc_id do not remove from each other.  A null doc_id counts as the greatest of all.
@@ -34,9 +38,11 @@ from pyspark.sql import functions as F
 
 from .features import ranges
 from .shared import from_bytes, packed, table, to_bytes, written
-from .text_arrays import Words, inside, rolling
+from .text_arrays import _R, Words, inside, mix, rolling
 
 LAST = 2**63 - 1
+#: Prefixes that are split are known to all tasks: at most so many a length, as groups grow with the input beyond it.
+SPLITS = 65_536
 #: Packed bytes of input a bucket.
 BUCKET_BYTES = 8 << 20
 
@@ -64,6 +70,8 @@ class Stretches:
         mine = picks[at] if len(at) else np.zeros(0, np.int64)
         firsts = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]])) if len(mine) else np.zeros(0, np.int64)
         self.first = at[firsts]
+        self.at = mine[firsts]
+        self.h = h
         self.n = np.diff(np.concatenate([firsts, [len(mine)]]))
         self.pick = least[mine[firsts]] if len(mine) else np.zeros(0, np.uint64)
         self.doc = words.doc()[self.first] if len(mine) else np.zeros(0, np.int64)
@@ -81,6 +89,23 @@ class Stretches:
         two = np.minimum.reduceat(ids, cut) != np.maximum.reduceat(ids, cut) if len(cut) else np.zeros(0, bool)
         return self.bucket[order][new], pick[new], two, back
 
+    def prefixes(self, use: np.ndarray, length: int) -> np.ndarray:
+        """Hashes of the first words of the suffixes that begin at the picks of the stretches use."""
+        out = np.zeros(len(use), np.uint64)
+        for j in range(length):
+            out = out * _R + self.h[self.at[use] + j]
+        return mix(out)
+
+    def deal(self, use: np.ndarray, splits: list[np.ndarray], buckets: int) -> None:
+        """Puts the stretches use into the buckets of their prefixes: the shortest ones that are not split."""
+        self.bucket = np.zeros(len(self.first), np.uint64)
+        open_ = np.arange(len(use))
+        for length in range(1, len(splits) + 2):
+            key = self.prefixes(use[open_], length)
+            split = np.isin(key, splits[length - 1]) if length <= len(splits) else np.zeros(len(open_), bool)
+            self.bucket[use[open_[~split]]] = mix(key[~split] + np.uint64(length)) % np.uint64(buckets)
+            open_ = open_[split]
+
     def distinct(self, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of the stretches use: distinct ones by bucket (a sample each, least and greatest doc_id, index of each of use)."""
         first, n = self.first[use], self.n[use]
@@ -150,18 +175,44 @@ def prefix_groups(word: np.ndarray, start: np.ndarray, depth: int, group: int) -
             todo.append((np.concatenate(small), deep))
 
 
-def deep_nodes(word: np.ndarray, start: np.ndarray, some: np.ndarray, deep: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The group's tree, built top-down: (suffixes, node) of the nodes with two leaves or more at the depth."""
-    node = np.zeros(len(some), np.int64)
+def sorted_suffixes(word: np.ndarray, start: np.ndarray, some: np.ndarray, deep: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(suffixes in order, words that each shares with the one before it) down to the depth; the first ``deep`` are common.
+
+    Suffixes that are alone with their next words are left out as the sort goes down, as no inner node is above them
+    alone.
+    """
+    rank = np.zeros(len(some), np.int64)
+    columns = []
     for level in range(deep, depth):
-        # the words at this level label the edges below each node
         _, label = np.unique(word[start[some] + level], return_inverse=True)
-        _, node, leaves = np.unique(node * (label.max(initial=0) + 1) + label, return_inverse=True, return_counts=True)
-        alive = leaves[node] > 1
-        some, node = some[alive], node[alive]
-        if not len(some):
-            break
-    return some, node
+        _, rank, leaves = np.unique(rank * (label.max(initial=0) + 1) + label, return_inverse=True, return_counts=True)
+        alive = leaves[rank] > 1
+        columns = [c[alive] for c in (*columns, label)]
+        some, rank = some[alive], rank[alive]
+    order = np.argsort(rank, kind="stable")
+    shared = np.zeros(len(order), np.int64)
+    same = np.ones(max(len(order) - 1, 0), bool)
+    for c in columns:
+        same &= c[order][1:] == c[order][:-1]
+        shared[1:] += same
+    shared[1:] += deep
+    return some[order], shared
+
+
+def inner_nodes(shared: np.ndarray, least: int) -> np.ndarray:
+    """(depth, first leaf, past leaf) of the tree's inner nodes of at least that depth, from neighbours' common prefixes.
+
+    A node is a longest run of leaves whose neighbours share its depth or more, and two of which no more.
+    """
+    found = []
+    for d in np.unique(shared[shared >= least]).tolist():
+        inside = np.concatenate([shared[1:] >= d, [False]])
+        first = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
+        past = np.flatnonzero(~inside & np.concatenate([[False], inside[:-1]])) + 1
+        if len(first):
+            lowest = np.minimum.reduceat(np.concatenate([shared, [0]]), np.stack([first + 1, past], 1).ravel())[::2]
+            found.append(np.stack([np.full(len(first), d), first, past], 1)[lowest == d])
+    return np.concatenate(found) if found else np.zeros((0, 3), np.int64)
 
 
 def tree_answers(window: int, group: int):
@@ -186,12 +237,13 @@ def tree_answers(window: int, group: int):
         low, high = np.repeat(np.concatenate(low), n), np.repeat(np.concatenate(high), n)
         answer = np.where(low != high, low, LAST)
         for some, deep in prefix_groups(word, suffix, window, group):
-            some, node = deep_nodes(word, suffix, some, deep, window)
-            if len(some):
-                order = np.argsort(node, kind="stable")
-                cut = np.flatnonzero(np.concatenate([[True], node[order][1:] != node[order][:-1]]))
-                least = np.minimum.reduceat(low[some[order]], cut)
-                answer[some[order]] = np.repeat(least, np.diff(np.concatenate([cut, [len(order)]])))
+            some, shared = sorted_suffixes(word, suffix, some, deep, window)
+            nodes = inner_nodes(shared, window)
+            if len(nodes):
+                _, first, past = nodes.T
+                leaves = ranges(first, past - first)
+                least = np.minimum.reduceat(low[some[leaves]], np.cumsum(past - first) - (past - first))
+                answer[some[leaves]] = np.repeat(least, past - first)
         sizes = [int((np.diff(s.column("words").combine_chunks().offsets.to_numpy()) - window + 1).sum()) for _, _, s, _ in rows]
         start = 0
         for (b, bucket, _, _), size in zip(rows, sizes, strict=True):
@@ -214,7 +266,7 @@ def bits_of(column: pa.Array, bucket: np.ndarray) -> np.ndarray:
     return np.concatenate([np.unpackbits(np.frombuffer(p, np.uint8), count=b - a) for p, (_, a, b) in zip(parts, slices(bucket), strict=True)]).astype(bool) if parts else np.zeros(0, bool)
 
 
-def substring_dedup(docs: DataFrame, window: int = 13, gram: int = 7, group: int = 200_000, keep: tuple[str, ...] = (), untouched: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 13, gram: int = 7, group: int = 200_000, sample: int = 64, keep: tuple[str, ...] = (), untouched: bool = False) -> DataFrame:
     """(doc_id, *keep, text, n_words, n_removed, removed): text as the kept words, joined by one space; removed as
 
     the maximal stretches struct(first, past) of word positions.  keep: further columns of docs to hand on.
@@ -222,7 +274,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, gram: int = 7, group: int
     """
     names = [c for c in keep if c not in ("doc_id", "text")]
     batches = packed(docs, {"doc_id": "doc_id", "text": "text"} | {f"k{i}": c for i, c in enumerate(names)})
-    total = batches.agg(F.sum(F.octet_length("payload"))).first()[0] or 0
+    total, n_batches = batches.agg(F.coalesce(F.sum(F.octet_length("payload")), F.lit(0)), F.count(F.lit(1))).first()
     buckets = max(32, -(-total // BUCKET_BYTES))
 
     def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +292,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, gram: int = 7, group: int
 
     shape = "batch long, bucket long, answer binary"
     asks = batches.mapInArrow(ask, "batch long, bucket long, picks binary, two binary")
-    picks = written(asks.groupBy("bucket").applyInArrow(per_table(repeated_picks), shape), "pick-answers")
+    picks = written(asks.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(per_table(repeated_picks), shape), "pick-answers")
 
     def candidates(t: pa.Table, answer: pa.Scalar) -> tuple[Stretches, np.ndarray]:
         s = Stretches(t, window, gram, buckets)
@@ -248,11 +300,29 @@ def substring_dedup(docs: DataFrame, window: int = 13, gram: int = 7, group: int
         bits = bits_of(answer, bucket)
         return s, (np.flatnonzero(bits[back]) if len(back) else np.zeros(0, np.int64))
 
+    def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in rows:
+            for i in range(r.num_rows):
+                s, use = candidates(from_bytes(r.column("payload")[i].as_py()), r.column("answers_0")[i])
+                for length in range(1, gram + 1):
+                    key, n = np.unique(s.prefixes(use, length), return_counts=True)
+                    often = n > 1  # those of one suffix a batch are no frequent prefixes
+                    yield pa.RecordBatch.from_pydict({"length": np.full(often.sum(), length, np.int32), "key": key[often].view(np.int64), "n": n[often]})
+
+    # a share of the batches, by their numbers; frequent prefixes alone are gathered, see SPLITS
+    step = max(1, n_batches // sample)
+    few = answered(batches.where(F.pmod(F.xxhash64("batch"), F.lit(step)) == 0), picks)
+    counts = written(few.mapInArrow(count, "length int, key long, n long").groupBy("length", "key").agg((F.sum("n") * step).alias("n")), "prefix-counts")
+    most = max(group, (counts.where("length = 1").agg(F.sum("n")).first()[0] or 0) // SPLITS)
+    frequent = counts.where((F.col("n") > most) & (F.col("length") < gram)).select("length", "key").collect()
+    splits = [np.array(sorted(r["key"] for r in frequent if r["length"] == length), np.int64).view(np.uint64) for length in range(1, gram)]
+
     def send(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("batch", pa.int64()), ("bucket", pa.int64()), ("stretches", pa.binary()), ("vocabulary", pa.binary())])
         for r in rows:
             for i, n in enumerate(r.column("batch").to_pylist()):
                 s, use = candidates(from_bytes(r.column("payload")[i].as_py()), r.column("answers_0")[i])
+                s.deal(use, splits, buckets)
                 sample, low, high, _ = s.distinct(use)
                 for b, a, e in slices(s.bucket[sample]):
                     size = s.n[sample[a:e]] + window - 1
@@ -263,7 +333,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, gram: int = 7, group: int
                     yield pa.RecordBatch.from_pydict({"batch": [n], "bucket": [b], "stretches": [to_bytes(rows_.combine_chunks())], "vocabulary": [to_bytes(words)]}, schema=schema)
 
     sent = answered(batches, picks).mapInArrow(send, "batch long, bucket long, stretches binary, vocabulary binary")
-    trees = written(sent.groupBy("bucket").applyInArrow(per_table(tree_answers(window, group)), shape), "tree-answers")
+    trees = written(sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(per_table(tree_answers(window, group)), shape), "tree-answers")
 
     def finish(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in rows:
@@ -272,6 +342,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, gram: int = 7, group: int
                 s, use = candidates(t, r.column("answers_0")[i])
                 gone = np.zeros(len(s.words.code), bool)
                 if len(use):
+                    s.deal(use, splits, buckets)
                     sample, _, _, back = s.distinct(use)
                     least = np.concatenate([from_bytes(p).column(0).to_numpy() for p in r.column("answers_1")[i].as_py()])
                     offsets = np.concatenate([[0], np.cumsum(s.n[sample])])

@@ -247,3 +247,51 @@ def test_short_items_beside_long_ones(spark):
                     at |= set(range(j, j + len(x)))
                     names |= found
         assert got[i] == (len(w), sorted(at), sorted(names)), i
+
+
+def test_suffix_tree_nodes():
+    """Inner nodes are the distinct common prefixes of two leaves or more, with all their leaves."""
+    from basalt.llm import op08_substring_dedup as op8
+
+    rng = np.random.default_rng(3)
+    word = rng.integers(0, 3, 400)
+    start = np.arange(380)
+    for some, deep in op8.prefix_groups(word, start, 6, 60):
+        order, shared = op8.sorted_suffixes(word, start, some, deep, 6)
+        got = {(d, tuple(word[start[order[a]] : start[order[a]] + d])): sorted(order[a:b].tolist()) for d, a, b in op8.inner_nodes(shared, 1).tolist()}
+        want = {}
+        for d in range(1, 7):
+            for i in some.tolist():
+                want.setdefault((d, tuple(word[i : i + d])), []).append(i)
+        want = {k: v for k, v in want.items() if len(v) > 1 and (k[0] == 6 or len({word[i + k[0]] for i in v}) > 1)}
+        alive = set(order.tolist())
+        assert {k: v for k, v in want.items() if k[0] == 6} == {k: v for k, v in got.items() if k[0] == 6}
+        assert all(set(v) == set(want[k]) & alive for k, v in got.items())
+
+
+def test_substrings_in_many_prefix_groups(spark, monkeypatch):
+    """Small groups, so that prefixes are of several lengths and buckets many: the same as brute force."""
+    from basalt.llm import op08_substring_dedup as op8
+    from basalt.llm import shared
+
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(9)]
+    passages = [rng.choices(words, k=rng.randint(13, 60)) for _ in range(12)]
+    texts = [" ".join(w for _ in range(rng.randint(0, 4)) for w in [*rng.choices(words, k=rng.randint(0, 30)), *rng.choice(passages)]) for _ in range(150)]
+    rows = [(i % 140 if i else None, t) for i, t in enumerate(texts)]
+    monkeypatch.setattr(op8, "BUCKET_BYTES", 100)
+    monkeypatch.setattr(op8, "packed", lambda docs, columns: shared.packed(docs, columns, limit=4000))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    last, first = 2**63 - 1, {}
+    windows = lambda w: [tuple(w[i : i + 13]) for i in range(len(w) - 12)]
+    for i, t in rows:
+        for x in windows(t.split()):
+            first[x] = min(first.get(x, last), last if i is None else i)
+    want = []
+    for i, t in rows:
+        w = t.split()
+        gone = {p for j, x in enumerate(windows(w)) if first[x] < (last if i is None else i) for p in range(j, j + 13)}
+        want.append((i, len(w), len(gone), " ".join(x for p, x in enumerate(w) if p not in gone)))
+    for group in (3, 40):
+        got = [(r.doc_id, r.n_words, r.n_removed, r.text) for r in op8.substring_dedup(docs, group=group, sample=4).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str), group
