@@ -169,7 +169,10 @@ def resolved(found: DataFrame) -> DataFrame:
     """captures with response: the capture that a revisit refers to, by its record identifier (null: none, or not there)."""
     name = F.regexp_replace("record_id", f"{COPY}\\d+>$", ">")
     responses = found.where("record.type = 'response'").groupBy(name.alias("name")).agg(F.min_by(F.struct("record_id", "record", "metadata"), "record_id").alias("response"))
-    return found.join(responses, F.col("record.refers_to") == F.col("name"), "left").drop("name")
+    responses = written(responses, "responses")
+    # captures that refer to none are spread by names that none has; a hot name's captures are split by Spark
+    wanted = F.coalesce(F.col("record.refers_to"), F.concat("record_id", F.lit("#")))
+    return found.withColumn("wanted", wanted).join(responses, F.col("wanted") == F.col("name"), "left").drop("wanted", "name")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
