@@ -98,13 +98,20 @@ def test_archive_round_trip(spark, tmp_path):
     two.check()
     with pytest.raises(FileNotFoundError, match="a1"):
         Archives(spark, [str(tmp_path / "a2")], done.root).check()
-    # without times all is read, and still nothing is new; a changed file is
+
+
+def test_changed_files_and_allocated_units(spark, tmp_path):
+    """Over a base all is read where times are not used; only what changed is new, and takes space of its own."""
+    from basalt.plans.archive import Archives, backup
+
+    root = tmp_path / "tree"
+    write_tree(root, {"d/big": BIG, "d/same": BIG, "small": b"x" * 160})
+    done = backup(spark, str(root), str(tmp_path / "a1"), b"salt", blksize=4096)
     (root / "d/same").write_bytes(BIG[:-1] + b"!")
-    os.utime(root / "d/same", (1, 1))
-    three = backup(spark, str(root), str(tmp_path / "a3"), b"salt", bases=[str(tmp_path / "a2"), str(tmp_path / "a1")], blksize=4096, use_midx=False, codec="lz4")
-    more = Archives(spark, [str(tmp_path / x) for x in ("a3", "a2", "a1")], three.root)
-    assert bytes(more.read("d/same", len(BIG) - 3).first()[0]) == b"il!" and bytes(more.read("d/big", 0, 10).first()[0]) == BIG[:10]
-    units = {p: more.stat(p, stats=True).first().units for p in ("d/same", "d/big", "small")}
+    later = backup(spark, str(root), str(tmp_path / "a2"), b"salt", bases=[str(tmp_path / "a1")], blksize=4096, codec="lz4")
+    one, two = Archives(spark, [str(tmp_path / "a1")], done.root), Archives(spark, [str(tmp_path / "a2"), str(tmp_path / "a1")], later.root)
+    assert bytes(two.read("d/same", len(BIG) - 3).first()[0]) == b"ai!" and bytes(two.read("d/big", 0, 10).first()[0]) == BIG[:10]
+    units = {p: two.stat(p, stats=True).first().units for p in ("d/same", "d/big", "small")}
     assert units["d/same"] > 0 and units["d/big"] == units["small"] == 0 and one.stat("d/big", stats=True).first().units > 10
     assert one.df().first().f_blocks == one.info().first().dedup_compressed_bytes // 4096
     with pytest.raises(FileExistsError):
