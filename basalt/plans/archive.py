@@ -3,9 +3,10 @@
 An archive is a folder of tables: blocks (new blocks only, sealed, in the order of their keys, with running offsets),
 meta (one row: block size, codec, counters, fingerprint, archives referred to) and, if asked for, midx (modification
 times).  Nothing else is stored: a directory's content is its entries - names, metadata and references, which hold the
-keys - and is cut into blocks, keyed and sealed like a file's.  So all that opens an archive is the reference of its
-root directory, which backup() returns and does not store.  meta comes last, so a folder without it is no archive; a
-failed backup removes its folder.
+keys - in blocks that are keyed and sealed like a file's.  So all that opens an archive is the reference of its root
+directory, which backup() returns and does not store.  No entry crosses the end of a block, so blocks of a directory
+are made and read apart from each other, and a directory of any size is spread over tasks.  meta comes last, so a folder
+without it is no archive; a failed backup removes its folder.
 """
 
 from __future__ import annotations
@@ -18,24 +19,26 @@ from dataclasses import dataclass
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
 from ..functions.keys import CODECS, INLINE_BYTES, KEY_BYTES, MAX_BLOCK, MAX_DEPTH, MAX_REFERENCED, MIN_BLOCK, compressed, decompressed, keeps_compressed, seal, unseal
 from ..functions.rules import Rule
-from ..operators.blocks import chunked, expand, joined, key_blocks, keyed
+from ..operators.blocks import expand, joined, key_blocks, keyed
 from ..operators.index import fingerprint, missing, resolved, running_offsets
 from ..operators.tree import pages
 from ..sources.files import contents, walk
 from .stored import deleted, exists, shared_dir, written
 
-MAGIC, VERSION = "basalt-archive", 2
+MAGIC, VERSION = "basalt-archive", 3
 #: Entry: size, rdev, atime, mtime, ctime, mode, uid, gid, then the lengths of user, group and name; after it the reference.
 ENTRY = struct.Struct(">QQqqqIIIBBH")
 STAT = ("size", "rdev", "atime", "mtime", "ctime", "mode", "uid", "gid")
 ROWS = "parent string, name string, " + ", ".join(f"{c} long" for c in STAT) + ", username string, groupname string, ref string"
 ROOT = ""
+#: Bytes of the longest entry: numbers, a reference, a name of 255 bytes that are no UTF-8 (three each), user and group.
+MAX_ENTRY = ENTRY.size + 2 + INLINE_BYTES + 3 * 255 + 2 * 255
 
 
 # ---- entries ----------------------------------------------------------------------------------------------------
@@ -50,8 +53,27 @@ def encoded() -> Column:
     return F.concat(*numbers, size("username", 2), size("groupname", 2), size("name", 4), F.col("ref"), *text)
 
 
+def directory_blocks(entries: DataFrame, blksize: int) -> DataFrame:
+    """(path, block_no, block) of the directories that hold entries (columns of ROWS); a longer entry than MAX_ENTRY is an error.
+
+    Entries stand by name.  An entry's block is that of its offset where blocks hold the block size less MAX_ENTRY, so
+    each fits whole.  Offsets are sums within ranges of names, added up over a directory's ranges: no task gets more
+    than one range, and the blocks do not depend on where ranges end.
+    """
+    size = F.expr("length(e) div 2")
+    e = F.when(F.length("e") <= 2 * MAX_ENTRY, F.col("e")).otherwise(F.raise_error(F.concat(F.lit("name is too long: "), "name")))
+    rows = entries.select(F.col("parent").alias("path"), "name", encoded().alias("e")).withColumn("e", e)
+    rows = written(rows.repartitionByRange("path", "name").withColumn("part", F.spark_partition_id()), "entries")
+    before = lambda of, by: F.coalesce(F.sum(of).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    ranges = rows.groupBy("path", "part").agg(F.sum(size).alias("s")).withColumn("base", before("s", Window.partitionBy("path").orderBy("part")))
+    rows = rows.withColumn("offset", before(size, Window.partitionBy("path", "part").orderBy("name", "e"))).join(ranges.drop("s"), ["path", "part"])
+    rows = rows.withColumn("block_no", F.floor((F.col("base") + F.col("offset")) / (blksize - MAX_ENTRY)))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("name", "e"))), lambda x: x["e"]), "")
+    return rows.groupBy("path", "block_no").agg(F.unhex(whole).alias("block"))
+
+
 def parsed(parent: str, data: bytes) -> Iterator[tuple]:
-    """ROWS of a directory's content; an entry that ends early is an error."""
+    """ROWS of a block of a directory; an entry that ends early is an error."""
     at = 0
     while at < len(data):
         try:
@@ -69,17 +91,17 @@ def parsed(parent: str, data: bytes) -> Iterator[tuple]:
 
 
 def entries_of(directories: DataFrame) -> DataFrame:
-    """ROWS of directories (path, bytes)."""
+    """ROWS of blocks of directories (path, block)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for parent, data in zip(batch.column("path").to_pylist(), batch.column("bytes"), strict=True):
+            for parent, data in zip(batch.column("path").to_pylist(), batch.column("block"), strict=True):
                 rows = list(parsed(parent, data.as_py() or b""))
                 for i in range(0, len(rows), 10_000):
                     part = rows[i : i + 10_000]
                     yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in part], t) for j, t in enumerate(KINDS)], names=NAMES)
 
-    return directories.select("path", "bytes").mapInArrow(work, ROWS)
+    return directories.select("path", "block").mapInArrow(work, ROWS)
 
 
 NAMES = ["parent", "name", *STAT, "username", "groupname", "ref"]
@@ -198,7 +220,7 @@ class Archives:
 
     def entries(self, directories: DataFrame) -> DataFrame:
         """The entries of directories (path, ref), with path and type."""
-        found = entries_of(joined(self.contents(directories), "path"))
+        found = entries_of(self.contents(directories))
         return found.withColumn("path", path_of()).withColumn("type", type_of(F.col("mode")))
 
     def walk(self) -> DataFrame:
@@ -434,15 +456,16 @@ def _stored(spark, files, read, path, salt, bases, blksize, codec, create_midx,
             here = files.where((F.col("type") == "dir") & (F.col("depth") == d))
             children = leaves.where(F.col("depth") == d + 1).select(*columns)
             children = children if below is None else children.unionByName(below.select(*columns))
-            listed = children.groupBy("parent").agg(F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("name", encoded().alias("e")))), lambda x: x["e"]), "")).alias("content"))
-            dirs = written(here.join(listed.withColumnRenamed("parent", "of"), F.col("path") == F.col("of"), "left").withColumn("content", F.coalesce("content", F.lit(b""))).drop("of"), "directories")
-            whole = dirs.select(F.lit(name).alias("archive"), F.col("path").alias("id"), "content")
-            blocks = written(keyed(chunked(whole, blksize, 0 if d == 0 else INLINE_BYTES), salt), "directory-blocks")  # the root's reference never holds its content
+            whole = directory_blocks(children, blksize).select(F.lit(name).alias("archive"), F.col("path").alias("id"), "block_no", "block")
+            blocks = written(keyed(whole, salt), "directory-blocks")
+            small = F.col("block_size") <= (INLINE_BYTES if d else 0)  # an only block; the root's reference never holds its content
+            inline = blocks.where(small).select(F.col("id").alias("path"), K.ref(F.lit(0), F.hex("block")).alias("ref"))
+            blocks = blocks.where(~small)
             every, deep = key_blocks(blocks.drop("block"), blksize, salt, contents=True)
             everything.append(blocks.select("id", F.lit(1).alias("level"), "block_no", "enc_key", "storage_key", "block_size", "block"))
             everything.append(every.where("level > 1").select("id", "level", "block_no", "enc_key", "storage_key", "block_size", "block"))
-            deep = deep.select(F.col("id").alias("path"), K.ref(F.col("indirection"), F.array_join("keys", "")).alias("ref"))
-            below = written(dirs.join(deep, "path", "left").withColumn("ref", F.coalesce("ref", K.ref(F.lit(0), F.hex("content")))), "directory-entries")
+            deep = deep.select(F.col("id").alias("path"), K.ref(F.col("indirection"), F.array_join("keys", "")).alias("ref")).unionByName(inline)
+            below = written(here.join(deep, "path", "left").withColumn("ref", F.coalesce("ref", F.lit("0000"))), "directory-entries")
             root = below
         root_ref = root.select("ref").first()["ref"]
         # 3. owners by keys alone, then the bytes of the new ones

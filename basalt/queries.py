@@ -20,6 +20,7 @@ from .plans import archive as A
 from .plans.stored import shared_dir
 
 SIZE, SALT = 4096, b"salt"
+TREE_RULES = [("-I", "AFRICA/*/**/order-*[05]"), ("-I", "AMERICA/NATION_1/*"), ("-E", "*/*/*[13579]"), ("-I", "ASIA"), ("-E", "AMERICA"), ("-E", "EUROPE/**")]
 RULES = [("-I", "**/en/**"), ("-E", "**/*[13579]"), ("-I", "*/fr"), ("-E", "*/de/**")]
 
 
@@ -152,7 +153,7 @@ def tree_paths(spark, d):
 
 def dir_lookup(spark, d):
     e = entries(spark, d)
-    return T.child(e, "r0", "ALGERIA").unionByName(e.where("parent_id = 'n0'")).join(T.paths(e).where("depth <= 2").select("id", "path"), "id")
+    return T.child(e, "r0", "NATION_0").unionByName(e.where("parent_id = 'n0'")).join(T.paths(e).where("depth <= 2").select("id", "path"), "id")
 
 
 def readdir_page(spark, d):
@@ -173,6 +174,26 @@ def filter_hits(spark, d):
     return R.hits(paths(spark, d), R.parse(RULES))
 
 
+def visited(spark, d):
+    """path, type, rule and decision of what a walk under TREE_RULES meets: nothing below an excluded directory."""
+    tree = T.paths(entries(spark, d)).select("path", F.when(F.col("depth") < 3, "dir").otherwise("file").alias("type"))
+    decided = R.decisions(tree, R.parse(TREE_RULES))
+    shut = decided.where("type = 'dir' AND decision = 'excluded'").select(F.col("path").alias("above"))
+    parts = F.split("path", "/")
+    above = decided.select("path", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("above"))
+    return decided.join(above.join(shut, "above", "left_semi").select("path").distinct(), "path", "left_anti")
+
+
+def dir_decisions(spark, d):
+    """What becomes of directories: kept, excluded, or entered for what an earlier rule may include below."""
+    return visited(spark, d).where("type = 'dir'").select("path", "rule", "decision")
+
+
+def visited_hits(spark, d):
+    """How many visited entries each rule decided, directories included."""
+    return R.hits(visited(spark, d), R.parse(TREE_RULES))
+
+
 def range_read(spark, d):
     got = B.read_range(files(spark, d), SIZE, 4000, 500)
     return got.select("id", F.octet_length("bytes").cast("long").alias("n"), F.lower(F.hex("bytes")).alias("bytes_hex"))
@@ -257,17 +278,28 @@ def gate_rule(spark, d):
     return t.select("plain", "packed", K.keeps_compressed(F.col("plain"), F.col("packed")).alias("kept"))
 
 
-def archive(spark, d, midx: bool = False):
-    """The documents as files source/lang/doc_id of an archive that is written, and opened by its root's reference."""
-    f = files(spark, d).select(F.concat_ws("/", "source", "lang", F.col("id").cast("string")).alias("path"), "content", F.octet_length("content").cast("long").alias("size"), F.col("id").alias("mtime"))
+def written_archive(spark, f: DataFrame, bases: list[str] = (), midx: bool = False) -> tuple[A.Archives, DataFrame]:
+    """An archive of files f (path, content, mtime), opened by its root's reference, and the files that were read for it."""
     path = f"{shared_dir(spark)}/documents-{uuid.uuid4().hex}"
+    needed = []
 
     def read(need):
-        cut = B.chunked(f.join(need.where("type = 'file'").select("path"), "path").select(F.lit("").alias("archive"), F.col("path").alias("id"), "content"), SIZE, 0)
+        needed.append(need.where("type = 'file'").select("path"))
+        cut = B.chunked(f.join(needed[0], "path").select(F.lit("").alias("archive"), F.col("path").alias("id"), "content"), SIZE, 0)
         return cut.select(F.col("id").alias("path"), "block_no", "block")
 
-    done = A.store(spark, A.with_directories(f), read, path, SALT, blksize=SIZE, create_midx=midx)
-    return A.Archives(spark, [path], done.root)
+    sized = f.withColumn("size", F.octet_length("content").cast("long"))
+    done = A.store(spark, A.with_directories(sized), read, path, SALT, bases, SIZE, create_midx=midx)
+    return A.Archives(spark, [path, *bases], done.root), needed[0]
+
+
+def documents(spark, d) -> DataFrame:
+    """The documents as files source/lang/doc_id."""
+    return files(spark, d).select("id", F.concat_ws("/", "source", "lang", F.col("id").cast("string")).alias("path"), "content", F.col("id").alias("mtime"))
+
+
+def archive(spark, d, midx: bool = False) -> A.Archives:
+    return written_archive(spark, documents(spark, d), midx=midx)[0]
 
 
 def archive_walk(spark, d):
@@ -295,11 +327,42 @@ def archive_midx(spark, d):
     return a.midx(SIZE).select("key", K.unseal_ref(F.col("sealed"), SALT).alias("ref"))
 
 
+def archive_ls(spark, d):
+    """The directory of the first document, found name by name from the root, with . and .."""
+    first = documents(spark, d).orderBy("id").select("path").first()
+    return archive(spark, d).ls(first["path"].rpartition("/")[0] if first else "").select("name", "path", "type")
+
+
+def archive_second(spark, d):
+    """A second archive over the first, after every third file has grown: the files that are read, and their new blocks.
+
+    All others are known by path, size and time, and are not read.
+    """
+    f = documents(spark, d)
+    one, _ = written_archive(spark, f, midx=True)
+    grown = F.col("id") % 3 == 2
+    f = f.withColumn("content", F.when(grown, F.concat("content", F.lit(b"!"))).otherwise(F.col("content"))).withColumn("mtime", F.when(grown, F.col("mtime") + 1).otherwise(F.col("mtime")))
+    two, read = written_archive(spark, f, one.paths)
+    data = B.keyed(B.chunked(f.select(F.lit("").alias("archive"), F.col("path").alias("id"), "content"), SIZE), SALT).select(F.col("id").alias("path"), "storage_key").distinct()
+    fresh = data.join(two.stored().where("ord = 0").select("storage_key"), "storage_key").groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    return read.join(fresh, "path", "left").select("path", F.coalesce("n", F.lit(0)).cast("long").alias("new_blocks"))
+
+
+def archive_allocated(spark, d):
+    """Units of 512 bytes that files take in an archive, key blocks included; their bytes are noise, which no codec shortens."""
+    noise = "array_join(transform(sequence(0L, n div 32), i -> sha2(concat(id, '-', i), 256)), '')"
+    f = table(spark, d, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") * 97 % 30000).alias("n"))
+    f = f.select(F.concat(F.lit("noise/"), F.col("id").cast("string")).alias("path"), F.expr(f"unhex(substring({noise}, 1, cast(2 * n AS int)))").alias("content"), F.lit(0).cast("long").alias("mtime"))
+    a, _ = written_archive(spark, f)
+    return a.allocated(a.walk().where("type = 'file'").select("path", "ref")).select("path", F.col("units").cast("long").alias("units"))
+
+
 QUERIES = {f.__name__: f for f in (
     chunk_blocks, block_keys, dedup_stats, first_occurrence, differential_blocks, used_entries, referenced_archives, archive_info, multi_index_lookup, missing_archives,
     block_offsets, inline_vs_indirect, indirection_levels, merkle_refs, merkle_read, tree_paths, dir_lookup, readdir_page, dir_numbers, path_filter, filter_hits, range_read,
     mtime_fast_path, mtime_keys, owner_enrich, file_allocated, fs_totals, merged_index, index_fingerprint, hex_roundtrip, ref_validity, blksize_validity, crypt_roundtrip,
     compress_roundtrip, compress_gate, gate_rule, archive_walk, archive_read, archive_blocks, archive_midx,
+    dir_decisions, visited_hits, archive_ls, archive_second, archive_allocated,
 )}
 
 # ---- DuckDB ---------------------------------------------------------------------------------------------------
@@ -321,6 +384,12 @@ l AS (SELECT archive, id, 1 AS level, list(sha256(unhex('{_SALT}' || hex(block))
 UNION ALL SELECT archive, id, level + 1, list_transform(range(0, (len(keys) + 127) // 128), lambda j: sha256(unhex('{_SALT}' || array_to_string(keys[(j * 128 + 1):(j * 128 + 128)], '')))) FROM l WHERE len(keys) > 5)
 SELECT archive, id, level AS indirection, array_to_string(keys, '') AS keys FROM l WHERE len(keys) <= 5"""
 _PATHS = f"{_F}, a AS (SELECT id, source || '/' || lang || '/' || id AS path, content FROM f)"
+_VISITED = f"""WITH RECURSIVE {_E}, q AS (SELECT path, string_split(path, '/') AS p, CASE WHEN depth < 3 THEN 'dir' ELSE 'file' END AS type FROM p),
+r AS (SELECT *, CASE WHEN p[1] = 'AFRICA' AND len(p) = 4 AND regexp_matches(p[4], '^order-.*[05]$') THEN 0 WHEN p[1] = 'AMERICA' AND p[2] = 'NATION_1' AND len(p) > 2 THEN 1
+WHEN len(p) > 2 AND regexp_matches(p[3], '[13579]$') THEN 2 WHEN p[1] = 'ASIA' THEN 3 WHEN p[1] = 'AMERICA' THEN 4 WHEN p[1] = 'EUROPE' AND len(p) > 1 THEN 5 END AS rule FROM q),
+s AS (SELECT *, CASE WHEN rule IS NULL OR rule IN (0, 1, 3) THEN 'kept' WHEN type = 'dir' AND (rule = 2 AND p[1] = 'AFRICA' OR rule = 4 AND (len(p) = 1 OR len(p) = 2 AND p[2] = 'NATION_1')) THEN 'structural' ELSE 'excluded' END AS decision FROM r),
+x AS (SELECT path FROM s WHERE type = 'dir' AND decision = 'excluded'),
+v AS (SELECT * FROM s WHERE p[1] NOT IN (SELECT path FROM x) AND (len(p) < 3 OR p[1] || '/' || p[2] NOT IN (SELECT path FROM x)) AND (len(p) < 4 OR array_to_string(p[1:3], '/') NOT IN (SELECT path FROM x)))"""
 _REFS = f"""WITH RECURSIVE {_F}, {_C}, l AS (SELECT id, 1 AS level, list(sha256(unhex('{_SALT}' || hex(block))) ORDER BY block_no) AS keys FROM c GROUP BY id
 UNION ALL SELECT id, level + 1, list_transform(range(0, (len(keys) + 127) // 128), lambda j: sha256(unhex('{_SALT}' || array_to_string(keys[(j * 128 + 1):(j * 128 + 128)], '')))) FROM l WHERE len(keys) > 5),
 r AS (SELECT id, level, keys FROM l WHERE len(keys) <= 5)"""
@@ -342,7 +411,7 @@ ORACLES = {
     "merkle_refs": _MERKLE,
     "merkle_read": f"WITH {_F} SELECT id, octet_length(content)::BIGINT AS n, sha256(content) AS content_sha256 FROM f",
     "tree_paths": f"WITH RECURSIVE {_E} SELECT * FROM p",
-    "dir_lookup": f"WITH RECURSIVE {_E} SELECT e.*, p.path FROM e JOIN p USING (id) WHERE (parent_id = 'r0' AND name = 'ALGERIA') OR parent_id = 'n0'",
+    "dir_lookup": f"WITH RECURSIVE {_E} SELECT e.*, p.path FROM e JOIN p USING (id) WHERE (parent_id = 'r0' AND name = 'NATION_0') OR parent_id = 'n0'",
     "readdir_page": f"WITH RECURSIVE {_E}, s AS (SELECT parent_id, name, id, ((24 + octet_length(encode(name)) + 7) // 8 * 8)::BIGINT AS size, row_number() OVER (PARTITION BY parent_id ORDER BY name, id) AS r FROM e WHERE parent_id IS NOT NULL), g AS (SELECT parent_id, r, 0::BIGINT AS page, size AS used FROM s WHERE r = 1 UNION ALL SELECT s.parent_id, s.r, CASE WHEN g.used + s.size > 4096 THEN g.page + 1 ELSE g.page END, CASE WHEN g.used + s.size > 4096 THEN s.size ELSE g.used + s.size END FROM g JOIN s ON s.parent_id = g.parent_id AND s.r = g.r + 1) SELECT s.parent_id, s.name, s.id, s.size, g.page FROM s JOIN g ON s.parent_id = g.parent_id AND s.r = g.r",
     "dir_numbers": f"WITH RECURSIVE {_E} SELECT id, row_number() OVER (PARTITION BY parent_id ORDER BY name)::INTEGER AS number FROM e",
     "path_filter": f"WITH {_P} SELECT id, rule, coalesce(rule IN (0, 2), true) AS included FROM (SELECT id, {_WHICH} AS rule FROM p)",
@@ -364,5 +433,10 @@ ORACLES = {
     "archive_read": f"WITH {_PATHS} SELECT path, octet_length(content)::BIGINT AS n, sha256(content) AS content_sha256 FROM a",
     "archive_blocks": f"WITH {_F}, {_C} SELECT path, block_no, sha256(block) AS block_sha256 FROM (SELECT c.*, source || '/' || lang || '/' || id AS path FROM c JOIN f USING (archive, id)) WHERE block_no IN (1, 2)",
     "archive_midx": f"{_REFS} SELECT sha256(unhex('{_SALT}' || lpad(hex(octet_length(content)), 16, '0') || lpad(hex(f.id), 16, '0') || hex(encode(source || '/' || lang || '/' || f.id)))) AS key, CASE WHEN r.id IS NULL THEN lower(lpad(hex(octet_length(content)), 2, '0') || '00' || h) ELSE lower(lpad(hex(32 * len(keys)), 2, '0') || lpad(hex(level), 2, '0') || array_to_string(keys, '')) END AS ref FROM f LEFT JOIN r ON f.id = r.id",
+    "dir_decisions": f"{_VISITED} SELECT path, rule, decision FROM v WHERE type = 'dir'",
+    "visited_hits": f"{_VISITED} SELECT k.rule, k.rule IN (0, 1, 3) AS include, count(v.rule) AS n FROM (SELECT unnest([0, 1, 2, 3, 4, 5]) AS rule) k LEFT JOIN v ON v.rule = k.rule GROUP BY k.rule",
+    "archive_ls": f"WITH {_PATHS}, m AS (SELECT source || '/' || lang AS dir FROM f ORDER BY id LIMIT 1) SELECT name, dir AS path, 'dir' AS type FROM m, (SELECT unnest(['.', '..']) AS name) UNION ALL SELECT id::VARCHAR, path, 'file' FROM a, m WHERE path = dir || '/' || id",
+    "archive_second": f"{_ALL}, g AS (SELECT id, source || '/' || lang || '/' || id AS path, octet_length(content) + 1 AS n, h || '21' AS h FROM f WHERE id % 3 = 2), x AS (SELECT path, unhex(substring(h, (k * {2 * SIZE} + 1)::BIGINT, {2 * SIZE})) AS block FROM (SELECT *, unnest(range(0, (n + {SIZE - 1}) // {SIZE})) AS k FROM g WHERE n > 160)), y AS (SELECT DISTINCT path, sha256(unhex(sha256(unhex('{_SALT}' || hex(block))))) AS storage_key FROM x), z AS (SELECT path, count(*) AS n FROM y WHERE storage_key NOT IN (SELECT storage_key FROM b) GROUP BY path) SELECT g.path, coalesce(z.n, 0)::BIGINT AS new_blocks FROM g LEFT JOIN z ON g.path = z.path",
+    "archive_allocated": f"SELECT 'noise/' || doc_id AS path, ((n + 28 * c + CASE WHEN c > 5 THEN 32 * c + 28 ELSE 0 END + 511) // 512)::BIGINT AS units FROM (SELECT doc_id, n, (n + {SIZE - 1}) // {SIZE} AS c FROM (SELECT doc_id, doc_id * 97 % 30000 AS n FROM documents)) WHERE n > 160",
     "gate_rule": "SELECT DISTINCT l_partkey AS plain, l_suppkey AS packed, l_suppkey > 0 AND l_suppkey < l_partkey AND l_partkey - l_suppkey > l_partkey // 20 AS kept FROM lineitem",
 }

@@ -228,3 +228,21 @@ def test_offsets_and_fingerprints(spark):
     assert {r.storage_key: r.offset for r in offsets(df).collect()} == want
     deep = [fingerprint(df.orderBy(F_rand), 4).first().fingerprint for F_rand in ("storage_key", "stored_size")]
     assert deep[0] == deep[1] != fingerprint(df.where("stored_size > 1"), 4).first().fingerprint
+
+
+def test_directories_of_many_blocks(spark):
+    """Blocks hold whole entries in the order of names, and are the same however the rows are dealt."""
+    from pyspark.sql import functions as F
+
+    from basalt.plans.archive import MAX_ENTRY, STAT, directory_blocks, parsed
+
+    rows = spark.range(1500).select(F.when(F.col("id") % 10 == 0, "few").otherwise("hot").alias("parent"), F.concat(F.repeat(F.lit("é"), (F.col("id") % 90).cast("int")), F.col("id").cast("string")).alias("name"), *[F.col("id").alias(c) for c in STAT], F.lit("u").alias("username"), F.lit("").alias("groupname"), F.lit("0000").alias("ref"))
+    seen = [{(r.path, r.block_no): bytes(r.block) for r in directory_blocks(x, 4096).collect()} for x in (rows, rows.repartition(7).orderBy(F.desc("name")))]
+    assert seen[0] == seen[1] and len(seen[0]) > 30 and all(len(x) <= 4096 for x in seen[0].values())
+    for parent in ("few", "hot"):
+        numbers = sorted(n for p, n in seen[0] if p == parent)
+        got = [(x[1], x[2]) for n in numbers for x in parsed(parent, seen[0][parent, n])]
+        assert numbers == list(range(len(numbers))) and got == sorted([(r.name, r.id) for r in rows.where(F.col("parent") == parent).select("name", F.col("size").alias("id")).collect()], key=lambda x: x[0].encode())
+    with pytest.raises(Exception, match="too long"):
+        directory_blocks(rows.limit(1).withColumn("name", F.repeat(F.lit("x"), MAX_ENTRY)), 4096).collect()
+    assert directory_blocks(rows.limit(0), 4096).count() == 0
