@@ -458,7 +458,7 @@ def _stored(spark, files, read, path, salt, bases, blksize, codec, create_midx,
             children = children if below is None else children.unionByName(below.select(*columns))
             whole = directory_blocks(children, blksize).select(F.lit(name).alias("archive"), F.col("path").alias("id"), "block_no", "block")
             blocks = written(keyed(whole, salt), "directory-blocks")
-            small = F.col("block_size") <= (INLINE_BYTES if d else 0)  # an only block; the root's reference never holds its content
+            small = (F.col("block_no") == 0) & (F.col("block_size") <= (INLINE_BYTES if d else 0))  # so an only block; the root's reference never holds its content
             inline = blocks.where(small).select(F.col("id").alias("path"), K.ref(F.lit(0), F.hex("block")).alias("ref"))
             blocks = blocks.where(~small)
             every, deep = key_blocks(blocks.drop("block"), blksize, salt, contents=True)

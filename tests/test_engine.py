@@ -246,3 +246,15 @@ def test_directories_of_many_blocks(spark):
     with pytest.raises(Exception, match="too long"):
         directory_blocks(rows.limit(1).withColumn("name", F.repeat(F.lit("x"), MAX_ENTRY)), 4096).collect()
     assert directory_blocks(rows.limit(0), 4096).count() == 0
+
+
+def test_directories_of_all_lengths(spark, tmp_path):
+    """Each entry is found once, also where a directory's last block is short enough to be inlined."""
+    from pyspark.sql import functions as F
+
+    from basalt.plans.archive import Archives, store, with_directories
+
+    files = spark.range(30, 75).select(F.concat(F.lit("d"), "id").alias("above"), F.explode(F.sequence(F.lit(1), F.col("id"))).alias("i")).select(F.concat_ws("/", "above", "i").alias("path"), F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("mtime"))
+    done = store(spark, with_directories(files), lambda need: need.where("false").selectExpr("path", "0L AS block_no", "cast('' AS binary) AS block"), str(tmp_path / "a"), b"s", blksize=4096)
+    got = sorted(r.path for r in Archives(spark, [str(tmp_path / "a")], done.root).walk().collect())
+    assert got == sorted([f"d{n}" for n in range(30, 75)] + [f"d{n}/{i}" for n in range(30, 75) for i in range(1, n + 1)])
