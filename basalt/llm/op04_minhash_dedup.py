@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import chunks, from_bytes, hot_join, hot_keys, table, to_bytes, written
+from .shared import chunks, from_bytes, hot_join, hot_keys, table, tidied, to_bytes, written
 from .text_arrays import Words, mix, shingles
 
 BATCH = 24
@@ -117,7 +117,7 @@ def signed(docs: DataFrame, k: int, hashes: int) -> DataFrame:
                 sigs.append(signature(values, flips, factors).tobytes() if len(values) else None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(sizes, pa.int64()), pa.array(his, pa.int64()), pa.array(los, pa.int64()), pa.array(sigs, pa.binary())], names=["doc_id", "text_key", "n_shingles", "hi", "lo", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(work, "doc_id long, text_key long, n_shingles long, hi long, lo long, sig binary")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(tidied(work), "doc_id long, text_key long, n_shingles long, hi long, lo long, sig binary")
 
 
 def _sigs(column: pa.Array, hashes: int) -> np.ndarray:
@@ -141,7 +141,7 @@ def banded(reps: DataFrame, hashes: int, rows: int) -> DataFrame:
             for band in range(hashes // rows):
                 yield pa.RecordBatch.from_arrays([pa.array(band_key(sig, band, rows)), batch.column("rep"), batch.column("size")], names=["key", "rep", "size"])
 
-    return reps.select("rep", "sig", F.col("n_shingles").alias("size")).mapInArrow(work, "key long, rep long, size long")
+    return reps.select("rep", "sig", F.col("n_shingles").alias("size")).mapInArrow(tidied(work), "key long, rep long, size long")
 
 
 def plausible(pairs: DataFrame, reps: DataFrame, hashes: int, least: list[tuple[int, int]]) -> DataFrame:
@@ -153,7 +153,7 @@ def plausible(pairs: DataFrame, reps: DataFrame, hashes: int, least: list[tuple[
             keep = survive(_sigs(batch.column("sig_a"), hashes), _sigs(batch.column("sig_b"), hashes), least)
             yield batch.select(["a", "b"]).take(pa.array(keep))
 
-    return pairs.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(work, "a long, b long")
+    return pairs.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(tidied(work), "a long, b long")
 
 
 def full_sets_of(ends: DataFrame, reps: DataFrame, docs: DataFrame, k: int) -> DataFrame:
@@ -169,7 +169,7 @@ def full_sets_of(ends: DataFrame, reps: DataFrame, docs: DataFrame, k: int) -> D
             yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array([i for i, _ in held], pa.int64())), pa.array([v for _, v in held], pa.binary())], names=["rep", "members"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(ends, "doc")
-    return written(texts.select("rep", "hi", "lo", "text").mapInArrow(full_sets, "rep long, members binary").dropDuplicates(["rep"]), "shingle-sets")
+    return written(texts.select("rep", "hi", "lo", "text").mapInArrow(tidied(full_sets), "rep long, members binary").dropDuplicates(["rep"]), "shingle-sets")
 
 
 def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -188,7 +188,7 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(linked, "a long, b long")
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(tidied(linked), "a long, b long")
 
 
 def packed_blocks(members: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, hot: list[int]) -> DataFrame:
@@ -285,7 +285,7 @@ def cross_links(members: DataFrame, reps: DataFrame, sets: DataFrame, hashes: in
     def out(found: list[tuple[int, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
-    return met.mapInArrow(work, "a long, b long").distinct()
+    return met.mapInArrow(tidied(work), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, hashes: int = 120, miss: float = 1e-6) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .features import ranges
-from .shared import chunks, table, written
+from .shared import chunks, table, tidied, written
 
 _WS = r"[\s\x0b\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 #: Texts in which white space meets white space, or that begin or end with it, are encoded whole.
@@ -111,7 +111,7 @@ def pieces(docs: DataFrame, size: int, end: int, paths: tuple[str, str, str]) ->
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidied(work), PIECES)
 
 
 class Bins:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .features import labelled_sample, pairs, ranges, remainder, subwords
-from .shared import chunks, table
+from .shared import chunks, table, tidied
 from .text_arrays import Words
 
 
@@ -121,7 +121,7 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", trains:
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return docs.mapInArrow(score, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+    return docs.mapInArrow(tidied(score), StructType([*docs.schema.fields, StructField("score", DoubleType())]))
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .features import ranges
-from .shared import from_bytes, packed, table, to_bytes, written
+from .shared import from_bytes, packed, table, tidied, to_bytes, written
 from .text_arrays import _R, Words, inside, mix, rolling
 
 LAST = 2**63 - 1
@@ -286,12 +286,12 @@ def substring_dedup(docs: DataFrame, window: int = 13, gram: int = 7, group: int
 
     def per_table(work):
         def group(t: pa.Table) -> pa.Table:
-            return pa.Table.from_batches(list(work(iter(t.to_batches()))), schema=ANSWER)
+            return pa.Table.from_batches(list(tidied(work)(iter(t.to_batches()))), schema=ANSWER)
 
         return group
 
     shape = "batch long, bucket long, answer binary"
-    asks = batches.mapInArrow(ask, "batch long, bucket long, picks binary, two binary")
+    asks = batches.mapInArrow(tidied(ask), "batch long, bucket long, picks binary, two binary")
     picks = written(asks.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(per_table(repeated_picks), shape), "pick-answers")
 
     def candidates(t: pa.Table, answer: pa.Scalar) -> tuple[Stretches, np.ndarray]:
@@ -312,7 +312,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, gram: int = 7, group: int
     # a share of the batches, by their numbers; frequent prefixes alone are gathered, see SPLITS
     step = max(1, n_batches // sample)
     few = answered(batches.where(F.pmod(F.xxhash64("batch"), F.lit(step)) == 0), picks)
-    counts = written(few.mapInArrow(count, "length int, key long, n long").groupBy("length", "key").agg((F.sum("n") * step).alias("n")), "prefix-counts")
+    counts = written(few.mapInArrow(tidied(count), "length int, key long, n long").groupBy("length", "key").agg((F.sum("n") * step).alias("n")), "prefix-counts")
     most = max(group, (counts.where("length = 1").agg(F.sum("n")).first()[0] or 0) // SPLITS)
     frequent = counts.where((F.col("n") > most) & (F.col("length") < gram)).select("length", "key").collect()
     splits = [np.array(sorted(r["key"] for r in frequent if r["length"] == length), np.int64).view(np.uint64) for length in range(1, gram)]
@@ -332,7 +332,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, gram: int = 7, group: int
                     words = pa.table({"w": s.words.vocabulary.take(pa.array(used))})
                     yield pa.RecordBatch.from_pydict({"batch": [n], "bucket": [b], "stretches": [to_bytes(rows_.combine_chunks())], "vocabulary": [to_bytes(words)]}, schema=schema)
 
-    sent = answered(batches, picks).mapInArrow(send, "batch long, bucket long, stretches binary, vocabulary binary")
+    sent = answered(batches, picks).mapInArrow(tidied(send), "batch long, bucket long, stretches binary, vocabulary binary")
     trees = written(sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(per_table(tree_answers(window, group)), shape), "tree-answers")
 
     def finish(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,7 +360,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, gram: int = 7, group: int
 
     span = ArrayType(StructType([StructField("first", IntegerType()), StructField("past", IntegerType())]))
     schema = StructType([*fields, StructField("text", StringType()), StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_sha256", StringType()), StructField("removed", span)])
-    return answered(batches, picks, trees).mapInArrow(finish, schema)
+    return answered(batches, picks, trees).mapInArrow(tidied(finish), schema)
 
 
 def results(t: pa.Table, words: Words, gone: np.ndarray, names: list[str], untouched: bool) -> pa.RecordBatch:

@@ -156,6 +156,16 @@ def tidy() -> None:
         pass
 
 
+def tidied(work: Callable) -> Callable:
+    """work, with its worker's freed memory given back at its end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        tidy()
+
+    return run
+
+
 def to_bytes(batch: pa.Table | pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
@@ -203,7 +213,7 @@ def packed(docs: DataFrame, columns: dict[str, str], limit: int = 6 << 20, tag:
             yield pa.RecordBatch.from_pydict({"batch": [first + i], "payload": [to_bytes(batch)]}, schema=schema)
 
     schema = pa.schema([("batch", pa.int64()), ("payload", pa.binary())])
-    return written(rows.mapInArrow(pack, "batch long, payload binary"), tag)
+    return written(rows.mapInArrow(tidied(pack), "batch long, payload binary"), tag)
 
 
 def payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
