@@ -33,13 +33,16 @@ _WS = r"[\s\x0b\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{
 UNEVEN = f"{_WS}{_WS}|^{_WS}|{_WS}$"
 #: Below this code point both libraries split text alike in every version; other words go to the tokenizer file itself.
 LATIN = "ɐ"
+#: Texts in which something else is found are split at spaces first.
+OTHER = f"[^\\x{{0}}-\\x{{{ord(LATIN) - 1:X}}}]|<\\|"
 
 
 class Encoder:
     """Ids of whole texts under a byte-level BPE file of tokenizers.
 
-    A space between two other characters always begins a new pre-token, so a text's ids are those of its first word
-    and of each later word with its space; each distinct word of a batch is encoded once.
+    Latin texts are encoded whole.  Of others each distinct word of a batch is encoded once: a space between two other
+    characters always begins a new pre-token, so a text's ids are those of its first word and of each later word with
+    its space.
     """
 
     def __init__(self, path: str, ranks_path: str, pattern: str, cache: int = 200_000):
@@ -66,11 +69,14 @@ class Encoder:
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         texts = pc.fill_null(texts.cast(pa.large_string()), "").take(pa.array(np.arange(len(texts))))
+        latin = ~pc.match_substring_regex(texts, OTHER).to_numpy(zero_copy_only=False)
         uneven = pc.match_substring_regex(texts, UNEVEN).to_numpy(zero_copy_only=False)
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
-        for i in np.flatnonzero(uneven).tolist():
+        for i in np.flatnonzero(latin).tolist():
+            out[i] = np.array(self.fast.encode_ordinary(texts[i].as_py()), np.uint32)
+        for i in np.flatnonzero(uneven & ~latin).tolist():
             out[i] = np.array(self.one(texts[i].as_py()), np.uint32)
-        even = np.flatnonzero(~uneven)
+        even = np.flatnonzero(~uneven & ~latin)
         if not len(even):
             return out
         split = pc.split_pattern(texts.take(pa.array(even)), pattern=" ")

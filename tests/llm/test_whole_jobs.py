@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -221,6 +222,21 @@ def test_packing_ids_are_the_tokenizers(spark):
         assert ids.tolist() == exact.encode(text or "", add_special_tokens=False).ids
 
 
+def test_latin_texts_are_encoded_whole():
+    """No Latin text is looked up word by word, and texts of all kinds have the tokenizer's ids."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    latin = ["", "one", "a b c", " two  spaces\n\nand lines \t", "naïve Ærø ɏ", "it's 12345 don't!", "x\u00a0y \x85 z", "no\x00thing"]
+    other = ["ɐ b c", "日本 語", "a “quoted” word", "  ɐ  b ", "end <|endoftext|> of it", "a <| b", "emoji 🙂 here"]
+    exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder = op6.Encoder(*op6.public_encoder())
+    for texts, words in ((latin, False), (latin + other, True)):
+        for text, ids in zip(texts, encoder(pa.array(texts)), strict=True):
+            assert ids.tolist() == exact.encode(text, add_special_tokens=False).ids, text
+        assert bool(encoder.known) == words
+
+
 def test_short_items_beside_long_ones(spark):
     """Items of one to twelve words are whole windows; longer ones are found by any 13 of their words."""
     from basalt.llm import op02_decontamination as op2
