@@ -7,6 +7,10 @@ keys - in blocks that are keyed and sealed like a file's.  So all that opens an
 directory, which backup() returns and does not store.  No entry crosses the end of a block, so blocks of a directory
 are made and read apart from each other, and a directory of any size is spread over tasks.  meta comes last, so a folder
 without it is no archive; a failed backup removes its folder.
+
+An index (store(..., index_only=True)) is such a folder in which data blocks have all but their bytes: they are made,
+keyed, packed and sealed, and their stored sizes kept.  Directories and key blocks are whole, so it can be walked and
+measured.  Its magic is another, so it opens as an index only, and is never a base.
 """
 
 from __future__ import annotations
@@ -29,9 +33,9 @@ from ..operators.blocks import expand, joined, key_blocks, keyed
 from ..operators.index import fingerprint, missing, resolved, running_offsets
 from ..operators.tree import pages
 from ..sources.files import contents, walk
-from .stored import deleted, exists, shared_dir, written
+from .stored import deleted, exists, put, shared_dir, written
 
-MAGIC, VERSION = "basalt-archive", 3
+MAGIC, INDEX_MAGIC, VERSION = "basalt-archive", "basalt-index", 3
 #: Entry: size, rdev, atime, mtime, ctime, mode, uid, gid, then the lengths of user, group and name; after it the reference.
 ENTRY = struct.Struct(">QQqqqIIIBBH")
 STAT = ("size", "rdev", "atime", "mtime", "ctime", "mode", "uid", "gid")
@@ -138,7 +142,7 @@ def resolve(spark: SparkSession, name: str) -> str:
     return path
 
 
-def validated(spark: SparkSession, path: str):
+def validated(spark: SparkSession, path: str, magic: str = MAGIC):
     """The meta row of an archive; an error where it contradicts itself."""
     rows = spark.read.parquet(f"{path}/meta").collect()
     if len(rows) != 1:
@@ -146,7 +150,7 @@ def validated(spark: SparkSession, path: str):
     m = rows[0]
     counts = [(m[f"{k}_blocks"], m[f"{k}_bytes"]) for k in ("total", "dedup", "internal")]
     faults = {
-        "magic": m["magic"] != MAGIC, "version": m["version"] != VERSION, "codec": m["codec"] not in {c[2] for c in CODECS.values()},
+        "magic": m["magic"] != magic, "version": m["version"] != VERSION, "codec": m["codec"] not in {c[2] for c in CODECS.values()},
         "block size": not (MIN_BLOCK <= m["blksize"] <= MAX_BLOCK and m["blksize"] & (m["blksize"] - 1) == 0), "references": len(m["referenced"]) > MAX_REFERENCED,
         "counters": min(min(c) for c in counts) < 0 or counts[1][0] < counts[2][0] or counts[1][1] < counts[2][1],
     }
@@ -156,12 +160,15 @@ def validated(spark: SparkSession, path: str):
 
 
 class Archives:
-    """The archives at hand, in order of priority; root: the reference that opens the first."""
+    """The archives at hand, in order of priority; root: the reference that opens the first.
+
+    magic: INDEX_MAGIC opens indexes, of which data blocks cannot be read.
+    """
 
-    def __init__(self, spark: SparkSession, names: list[str], root: str | None = None):
+    def __init__(self, spark: SparkSession, names: list[str], root: str | None = None, magic: str = MAGIC):
         self.spark, self.root = spark, root
         self.paths = [resolve(spark, n) for n in names]
-        self.rows = [validated(spark, p) for p in self.paths]
+        self.rows = [validated(spark, p, magic) for p in self.paths]
         self.meta = reduce(DataFrame.unionByName, [spark.read.parquet(f"{p}/meta").withColumn("ord", F.lit(i)) for i, p in enumerate(self.paths)]) if names else None
 
     @property
@@ -200,7 +207,7 @@ class Archives:
     # -- contents
 
     def _content(self) -> DataFrame:
-        best = resolved(self.stored().select("storage_key", "ord", "codec", "size", "packed", "sealed"))
+        best = resolved(self.stored().where("sealed IS NOT NULL").select("storage_key", "ord", "codec", "size", "packed", "sealed"))
         return best.select("storage_key", F.struct("codec", "size", "packed", "sealed").alias("content"))
 
     def contents(self, refs: DataFrame, first: int = 0, last: int | None = None) -> DataFrame:
@@ -392,24 +399,38 @@ def with_directories(files: DataFrame) -> DataFrame:
     return files.select("path", F.lit("file").alias("type"), *stat(False)).unionByName(directories.select("path", F.lit("dir").alias("type"), *stat(True)))
 
 
-def store(spark: SparkSession, files: DataFrame, read, path: str, salt: bytes, bases: list[str] = (), blksize: int = 65536, codec: str = "zstd", create_midx: bool = False, use_midx: bool = True, users: DataFrame | None = None, groups: DataFrame | None = None) -> Backup:
+def store(spark: SparkSession, files: DataFrame, read, path: str, salt: bytes, bases: list[str] = (), blksize: int = 65536, codec: str = "zstd", create_midx: bool = False, use_midx: bool = True, users: DataFrame | None = None, groups: DataFrame | None = None, index_only: bool = False) -> Backup:
     """Writes an archive of files (path, type, STAT; directories and the root '' among them) below path.
 
     read: files (path, type, size) -> (path, block_no, block), cut at blksize.  Contents are read once, into a table of
-    keyed blocks that goes when the archive is written.
+    keyed blocks that goes when the archive is written.  index_only: the data blocks' stored sizes without their bytes,
+    which then are on no disk.
     """
     if not (MIN_BLOCK <= blksize <= MAX_BLOCK and blksize & (blksize - 1) == 0):
         raise ValueError(f"block size {blksize}")
     if exists(spark, path):
         raise FileExistsError(errno.EEXIST, "an archive is never overwritten", path)
     try:
-        return _stored(spark, files, read, path.rstrip("/"), salt, Archives(spark, list(bases)) if bases else None, blksize, codec, create_midx, use_midx, users, groups)
+        return _stored(spark, files, read, path.rstrip("/"), salt, Archives(spark, list(bases)) if bases else None, blksize, codec, create_midx, use_midx, users, groups, index_only)
     except BaseException:
         deleted(spark, path)
         raise
 
 
-def _stored(spark, files, read, path, salt, bases, blksize, codec, create_midx, use_midx, users, groups) -> Backup:
+def unmeasured() -> Column:
+    """The column measured of blocks that are stored with their bytes."""
+    return F.lit(None).cast("struct<packed: boolean, stored_size: bigint>").alias("measured")
+
+
+def stored_form(blocks: DataFrame, codec: str) -> DataFrame:
+    """blocks (block, enc_key, ...) with packed, sealed and stored_size: null where the block is."""
+    rows = blocks.withColumn("small", compressed(F.col("block"), codec)).withColumn("packed", keeps_compressed(F.octet_length("block"), F.octet_length("small")))
+    on_disk = F.when(F.col("packed"), F.col("small")).otherwise(F.col("block"))
+    number = F.when(F.col("packed"), F.lit(1 + list(CODECS).index(codec))).otherwise(F.lit(0))
+    return rows.withColumn("sealed", seal(on_disk, F.col("enc_key"), number)).drop("small").withColumn("stored_size", F.octet_length("sealed").cast("long"))
+
+
+def _stored(spark, files, read, path, salt, bases, blksize, codec, create_midx, use_midx, users, groups, index_only) -> Backup:
     name = path.rpartition("/")[2]
     depth = F.when(F.col("path") == ROOT, 0).otherwise(F.size(F.split("path", "/")))
     files = files.withColumn("depth", depth).withColumn("name", F.regexp_extract("path", "[^/]*$", 0)).withColumn("parent", F.regexp_replace("path", "/?[^/]*$", ""))
@@ -434,14 +455,17 @@ def _stored(spark, files, read, path, salt, bases, blksize, codec, create_midx,
         # empty only where decision says so: directories of other devices and such have no entries
         live = files.where("hit IS NULL" + (" AND decision IN ('kept', 'structural')" if "decision" in files.columns else ""))
         data = read(live.select("path", "type", "size"))
-        keyed(data.select(F.lit(name).alias("archive"), F.col("path").alias("id"), "block_no", "block"), salt).write.parquet(f"{keyed_path}/level=1")
+        small = (F.col("block_no") == 0) & (F.col("block_size") <= INLINE_BYTES)
+        data = keyed(data.select(F.lit(name).alias("archive"), F.col("path").alias("id"), "block_no", "block"), salt).withColumn("measured", unmeasured())
+        if index_only:
+            data = stored_form(data, codec).withColumn("measured", F.struct("packed", "stored_size")).withColumn("block", F.when(small, F.col("block"))).drop("packed", "sealed", "stored_size")
+        put(data, f"{keyed_path}/level=1")
         data = spark.read.parquet(f"{keyed_path}/level=1")
         read_sizes = written(data.groupBy("id").agg(F.sum("block_size").alias("read")), "read-sizes")
-        small = (F.col("block_no") == 0) & (F.col("block_size") <= INLINE_BYTES)
         refs = [data.where(small).select(F.col("id").alias("path"), K.ref(F.lit(0), F.hex("block")).alias("ref"))]
-        everything = [data.where(~small).select("id", F.lit(1).alias("level"), "block_no", "enc_key", "storage_key", "block_size", "block")]
-        every, deep = key_blocks(data.where(~small).drop("block"), blksize, salt, contents=True)
-        everything.append(every.where("level > 1").select("id", "level", "block_no", "enc_key", "storage_key", "block_size", "block"))
+        everything = [data.where(~small).select("id", F.lit(1).alias("level"), "block_no", "enc_key", "storage_key", "block_size", "block", "measured")]
+        every, deep = key_blocks(data.where(~small).drop("block", "measured"), blksize, salt, contents=True)
+        everything.append(every.where("level > 1").select("id", "level", "block_no", "enc_key", "storage_key", "block_size", "block", unmeasured()))
         refs.append(deep.select(F.col("id").alias("path"), K.ref(F.col("indirection"), F.array_join("keys", "")).alias("ref")))
         read_refs = written(reduce(DataFrame.unionByName, refs), "references")
         own = files.join(read_refs, "path", "left").withColumn("ref", F.coalesce("hit_ref", "ref", F.lit("0000")))
@@ -462,8 +486,8 @@ def _stored(spark, files, read, path, salt, bases, blksize, codec, create_midx,
             inline = blocks.where(small).select(F.col("id").alias("path"), K.ref(F.lit(0), F.hex("block")).alias("ref"))
             blocks = blocks.where(~small)
             every, deep = key_blocks(blocks.drop("block"), blksize, salt, contents=True)
-            everything.append(blocks.select("id", F.lit(1).alias("level"), "block_no", "enc_key", "storage_key", "block_size", "block"))
-            everything.append(every.where("level > 1").select("id", "level", "block_no", "enc_key", "storage_key", "block_size", "block"))
+            everything.append(blocks.select("id", F.lit(1).alias("level"), "block_no", "enc_key", "storage_key", "block_size", "block", unmeasured()))
+            everything.append(every.where("level > 1").select("id", "level", "block_no", "enc_key", "storage_key", "block_size", "block", unmeasured()))
             deep = deep.select(F.col("id").alias("path"), K.ref(F.col("indirection"), F.array_join("keys", "")).alias("ref")).unionByName(inline)
             below = written(here.join(deep, "path", "left").withColumn("ref", F.coalesce("ref", F.lit("0000"))), "directory-entries")
             root = below
@@ -474,24 +498,21 @@ def _stored(spark, files, read, path, salt, bases, blksize, codec, create_midx,
         keys = written(keys.select("storage_key", "o.*", "refs", "size"), "owners")
         old = resolved(bases.stored().select("storage_key", "ord", "archive", "stored_size")) if bases else None
         fresh = keys if old is None else keys.join(old.select("storage_key"), "storage_key", "left_anti")
-        rows = everything.select("id", "level", "block_no", "enc_key", "block").join(fresh.select("id", "level", "block_no", "storage_key"), ["id", "level", "block_no"])
-        rows = rows.withColumn("small", compressed(F.col("block"), codec)).withColumn("packed", keeps_compressed(F.octet_length("block"), F.octet_length("small")))
-        on_disk = F.when(F.col("packed"), F.col("small")).otherwise(F.col("block"))
-        number = F.when(F.col("packed"), F.lit(1 + list(CODECS).index(codec))).otherwise(F.lit(0))
-        sealed = rows.select(F.lit(name).alias("archive"), "storage_key", F.lit("zstd" if codec == "zstd" else "lz4").alias("codec"), F.octet_length("block").cast("long").alias("size"), "packed", seal(on_disk, F.col("enc_key"), number).alias("sealed"))
-        sealed = sealed.withColumn("stored_size", F.octet_length("sealed").cast("long"))
-        sealed.repartitionByRange(F.col("storage_key")).sortWithinPartitions("storage_key").write.mode("errorifexists").parquet(f"{path}/blocks")
+        rows = everything.select("id", "level", "block_no", "enc_key", "block", "measured").join(fresh.select("id", "level", "block_no", "storage_key", "size"), ["id", "level", "block_no"])
+        measure = lambda c: F.coalesce(c, f"measured.{c}").alias(c)
+        sealed = stored_form(rows, codec).select(F.lit(name).alias("archive"), "storage_key", F.lit("zstd" if codec == "zstd" else "lz4").alias("codec"), "size", measure("packed"), "sealed", measure("stored_size"))
+        put(sealed.repartitionByRange(F.col("storage_key")).sortWithinPartitions("storage_key"), f"{path}/blocks")
     finally:
         deleted(spark, keyed_path)
     if create_midx:
         times = leaves.where("type = 'file'").select(F.col("mtime_key").alias("key"), K.seal_ref(F.col("ref"), F.col("mtime_key"), salt).alias("sealed"))
-        times.repartitionByRange("key").sortWithinPartitions("key").write.mode("errorifexists").parquet(f"{path}/midx")
-    _meta(spark, path, name, keys, old, leaves if hits else None, blksize, codec).coalesce(1).write.mode("errorifexists").parquet(f"{path}/meta")
+        put(times.repartitionByRange("key").sortWithinPartitions("key"), f"{path}/midx")
+    put(_meta(spark, path, name, keys, old, leaves if hits else None, blksize, codec, INDEX_MAGIC if index_only else MAGIC).coalesce(1), f"{path}/meta")
     changed = leaves.where("type = 'file' AND hit IS NULL").join(read_sizes, F.col("path") == F.col("id"), "left").select("path", "size", F.coalesce("read", F.lit(0).cast("long")).alias("read")).where("size <> read")
     return Backup(root_ref, files.limit(0), written(changed, "changed"))
 
 
-def _meta(spark, path, name, keys, old, leaves, blksize, codec) -> DataFrame:
+def _meta(spark, path, name, keys, old, leaves, blksize, codec, magic) -> DataFrame:
     """The counters: a reference counts once in total, a distinct key in dedup, a new block in internal; hits by their size."""
     entries = spark.read.parquet(f"{path}/blocks").select("storage_key", F.lit(None).cast("string").alias("at"), "stored_size")
     if old is not None:
@@ -509,7 +530,7 @@ def _meta(spark, path, name, keys, old, leaves, blksize, codec) -> DataFrame:
         meta = meta.withColumn("total_bytes", F.col("total_bytes") + found[0]).withColumn("referenced", F.array_union("referenced", known))
     limit = F.when(F.size("referenced") <= MAX_REFERENCED, F.array_sort("referenced")).otherwise(F.raise_error(F.lit(f"more than {MAX_REFERENCED} archives referred to")).cast("array<string>"))
     index = fingerprint(spark.read.parquet(f"{path}/blocks").select("archive", "storage_key")).first()
-    fixed = {"magic": MAGIC, "version": VERSION, "archive": name, "codec": CODECS[codec][2], "index_hash": index["fingerprint"] if index else ""}
+    fixed = {"magic": magic, "version": VERSION, "archive": name, "codec": CODECS[codec][2], "index_hash": index["fingerprint"] if index else ""}
     out = meta.withColumn("referenced", limit).withColumn("blksize", F.lit(blksize).cast("long"))
     return out.withColumns({k: F.lit(v) for k, v in fixed.items()})
 
