@@ -7,10 +7,9 @@ doc_id.  Suffixes are word suffixes, and trees reach down to the window's depth,
 2. Candidates: each window picks the least hash of its ``gram``-word grams (equal windows pick equal ones).  A batch
    sends its distinct picks to buckets by hash; a bucket answers one bit a pick: does it occur in two documents?  Only
    suffixes at such picks can repeat, the rest is left out of the trees.
-3. Prefixes: on about ``sample`` batches the candidate suffixes, which begin at picks, are counted by their first 1, 2
-   .. ``gram`` words.  A prefix that more than ``group`` suffixes of all batches are estimated to have is split by its
-   next word, so prefixes are of variable length and each holds a group that fits into memory, up to the gram itself.
-   The sample only balances the groups; results do not depend on it.
+3. Prefixes: the candidate suffixes of all batches, which begin at picks, are counted by the hashes of their first 1, 2
+   .. ``gram`` - 1 words, in SLOTS slots a length.  Prefixes in a slot that more than ``group`` suffixes have are split by
+   their next word, so prefixes are of variable length and each holds a group that fits into memory, up to the gram itself.
 4. Trees: a batch sends its distinct candidate stretches (a pick's windows, as words) with the least and greatest
    doc_id holding them, dealt by the suffix's prefix: equal windows have equal picks and so one prefix.  A task sorts
    its group's suffixes, in parts by further words where they are many, and the common prefixes of neighbours give the
@@ -41,17 +40,22 @@ from .shared import from_bytes, packed, table, tidied, to_bytes, written
 from .text_arrays import _R, Words, inside, mix, rolling
 
 LAST = 2**63 - 1
-#: Prefixes that are split are known to all tasks: at most so many a length, as groups grow with the input beyond it.
-SPLITS = 65_536
+#: Prefixes are counted, and split, by so many slots of their hashes a length; groups grow with the input beyond it.
+SLOTS = 1 << 14
 #: Packed bytes of input a bucket.
 BUCKET_BYTES = 8 << 20
 
 
+def slot(key: np.ndarray) -> np.ndarray:
+    """The slot of a prefix, of its hash's upper bits."""
+    return ((key >> np.uint64(32)) % np.uint64(SLOTS)).astype(np.int64)
+
+
 class Stretches:
     """Runs of a batch's windows that pick the same gram."""
 
     def __init__(self, batch: pa.Table, window: int, gram: int, buckets: int):
-        self.window = window
+        self.window, self.gram = window, gram
         self.words = words = Words(batch.column("text"), lower=False)
         ids = batch.column("doc_id").cast(pa.int64()).combine_chunks().fill_null(LAST)
         self.ids = ids.to_numpy()
@@ -96,13 +100,20 @@ class Stretches:
             out = out * _R + self.h[self.at[use] + j]
         return mix(out)
 
+    def slots(self, use: np.ndarray) -> np.ndarray:
+        """(length, slot) -> how many of the stretches use begin with a prefix of that many words, less than a gram, in that slot."""
+        out = np.zeros((self.gram - 1, SLOTS), np.int64)
+        for length in range(1, self.gram):
+            out[length - 1] = np.bincount(slot(self.prefixes(use, length)), minlength=SLOTS)
+        return out
+
     def deal(self, use: np.ndarray, splits: list[np.ndarray], buckets: int) -> None:
-        """Puts the stretches use into the buckets of their prefixes: the shortest ones that are not split."""
+        """Puts the stretches use into the buckets of their prefixes: the shortest ones whose slots are not split."""
         self.bucket = np.zeros(len(self.first), np.uint64)
         open_ = np.arange(len(use))
         for length in range(1, len(splits) + 2):
             key = self.prefixes(use[open_], length)
-            split = np.isin(key, splits[length - 1]) if length <= len(splits) else np.zeros(len(open_), bool)
+            split = np.isin(slot(key), splits[length - 1]) if length <= len(splits) else np.zeros(len(open_), bool)
             self.bucket[use[open_[~split]]] = mix(key[~split] + np.uint64(length)) % np.uint64(buckets)
             open_ = open_[split]
 
@@ -271,6 +282,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, gram: int = 7, group: int
 
     the maximal stretches struct(first, past) of word positions.  keep: further columns of docs to hand on.
     untouched: a text of which no word is removed stays as it is, white space included (null: empty).
+    sample: without effect, as all batches are counted.
     """
     names = [c for c in keep if c not in ("doc_id", "text")]
     batches = packed(docs, {"doc_id": "doc_id", "text": "text"} | {f"k{i}": c for i, c in enumerate(names)})
@@ -301,21 +313,18 @@ def substring_dedup(docs: DataFrame, window: int = 13, gram: int = 7, group: int
         return s, (np.flatnonzero(bits[back]) if len(back) else np.zeros(0, np.int64))
 
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((gram - 1, SLOTS), np.int64)
         for r in rows:
             for i in range(r.num_rows):
                 s, use = candidates(from_bytes(r.column("payload")[i].as_py()), r.column("answers_0")[i])
-                for length in range(1, gram + 1):
-                    key, n = np.unique(s.prefixes(use, length), return_counts=True)
-                    often = n > 1  # those of one suffix a batch are no frequent prefixes
-                    yield pa.RecordBatch.from_pydict({"length": np.full(often.sum(), length, np.int32), "key": key[often].view(np.int64), "n": n[often]})
-
-    # a share of the batches, by their numbers; frequent prefixes alone are gathered, see SPLITS
-    step = max(1, n_batches // sample)
-    few = answered(batches.where(F.pmod(F.xxhash64("batch"), F.lit(step)) == 0), picks)
-    counts = written(few.mapInArrow(tidied(count), "length int, key long, n long").groupBy("length", "key").agg((F.sum("n") * step).alias("n")), "prefix-counts")
-    most = max(group, (counts.where("length = 1").agg(F.sum("n")).first()[0] or 0) // SPLITS)
-    frequent = counts.where((F.col("n") > most) & (F.col("length") < gram)).select("length", "key").collect()
-    splits = [np.array(sorted(r["key"] for r in frequent if r["length"] == length), np.int64).view(np.uint64) for length in range(1, gram)]
+                total += s.slots(use)
+        length, at = np.nonzero(total)
+        yield pa.RecordBatch.from_pydict({"length": (length + 1).astype(np.int32), "slot": at, "n": total[length, at]})
+
+    counts = written(answered(batches, picks).mapInArrow(tidied(count), "length int, slot long, n long").groupBy("length", "slot").agg(F.sum("n").alias("n")), "prefix-counts")
+    most = max(group, (counts.where("length = 1").agg(F.sum("n")).first()[0] or 0) // SLOTS)
+    frequent = counts.where(F.col("n") > most).select("length", "slot").collect()  # at most SLOTS a length
+    splits = [np.array(sorted(r["slot"] for r in frequent if r["length"] == length), np.int64) for length in range(1, gram)]
 
     def send(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("batch", pa.int64()), ("bucket", pa.int64()), ("stretches", pa.binary()), ("vocabulary", pa.binary())])

@@ -311,3 +311,32 @@ def test_substrings_in_many_prefix_groups(spark, monkeypatch):
     for group in (3, 40):
         got = [(r.doc_id, r.n_words, r.n_removed, r.text) for r in op8.substring_dedup(docs, group=group, sample=4).collect()]
         assert sorted(got, key=str) == sorted(want, key=str), group
+
+
+def test_prefixes_are_counted_in_all_batches(spark, monkeypatch):
+    """Each suffix that may repeat is counted once a length, whatever batch it is in: nothing is estimated."""
+    from basalt.llm import op08_substring_dedup as op8
+    from basalt.llm import shared
+
+    rng = random.Random(4)
+    again = [" ".join(rng.choices([f"w{i}" for i in range(50)], k=30)) for _ in range(3)]
+    texts = [" ".join(f"x{i}_{j}" for j in range(rng.randint(0, 40))) + " " + (rng.choice(again) if i % 3 else "") for i in range(90)]
+    tables = {}
+
+    def kept(name, df):
+        tables[name] = df
+        return df
+
+    monkeypatch.setattr(op8, "packed", lambda docs, columns: kept("packed", shared.packed(docs, columns, limit=1000)))
+    monkeypatch.setattr(op8, "written", lambda df, tag: kept(tag, shared.written(df, tag)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    op8.substring_dedup(docs, sample=4)
+    batches = [op8.Stretches(shared.from_bytes(r.payload), 13, 7, 32) for r in tables["packed"].collect()]
+    assert len(batches) > 16
+    holders = {}
+    for s in batches:
+        for pick, doc in zip(s.pick.tolist(), s.ids[s.doc].tolist(), strict=True):
+            holders.setdefault(pick, set()).add(doc)
+    want = sum(len(holders[p]) > 1 for s in batches for p in s.pick.tolist())
+    got = {r["length"]: r["n"] for r in tables["prefix-counts"].where("length < 7").groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    assert want > 0 and got == {length: want for length in range(1, 7)}
